@@ -1,11 +1,21 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline of the training-data operators, stage by stage.
+
+Each stage gets all rows that the one before kept; ``run`` chains them lazily, a caller may as
+well write each result and read it back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrion.llm import simhash, token_output
+from papyrion.llm import decontaminate, mixing, simhash, token_output, toxicity
 from papyrion.llm.queries import tokenizer_path
+from papyrion.llm.shared import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go; the lexicon learns from these documents' labels."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +23,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a few edits, go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix of sources takes them."""
+    return mixing.apply_mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Binary shards of the mix, read back as one row per document."""
     return token_output.token_output(docs, tokenizer_path())
 
 
-STAGES = [("near_dedup", near_dedup), ("tokens", tokens)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("mixing", mixed), ("tokens", tokens)]
 
 #: The stages hash, train and tokenize; the tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
