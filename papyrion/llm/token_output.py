@@ -44,8 +44,8 @@ END_ID = 0
 SHARD_IDS = 1 << 20
 #: A pair that occurs less often gets no rule; rounds of replacement; new rules a round.
 MIN_COUNT, ROUNDS, RULES_A_ROUND = 12, 4, 6000
-#: Cached pieces of text with their ids, for each Python worker.
-CACHE_ENTRIES = 900_000
+#: Cached pieces of text with their ids, for each Python worker: those learned first stay, later ones take turns.
+CACHE_ENTRIES, PASSING_ENTRIES = 800_000, 100_000
 
 
 # ---------------------------------------------------------------- encoding
@@ -73,13 +73,14 @@ class TextEncoder:
         alone = sum("Ā" in token for token in vocab) == 1  # the byte-level letter of U+0000
         self.mark = mark[0] if len(mark) == 1 and alone else None
         self.cache: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_ENTRIES:
-            self.cache.clear()
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.passing += pieces
         odd = [p for p in pieces if "\0" in p] if self.mark is not None else pieces
         for p in odd:
             self.cache[p] = np.asarray(self._ids(f" {p}"), dtype="<u4").tobytes()
@@ -96,10 +97,12 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
+        if len(self.passing) > PASSING_ENTRIES:
+            for piece in self.passing:
+                self.cache.pop(piece, None)
+            self.passing.clear()
         split = [t.split(" ") for t in texts]
-        fresh = set().union(*(s[1:] for s in split)).difference(self.cache)
-        if len(fresh) + len(self.cache) > CACHE_ENTRIES:
-            fresh = set().union(*(s[1:] for s in split))
+        fresh = set().union(*split).difference(self.cache)
         self._learn([p for p in fresh if p and not p.isspace()])
         out, get = [], self.cache.__getitem__
         for text, pieces in zip(texts, split, strict=True):
@@ -122,10 +125,17 @@ def encoder(path: str) -> TextEncoder:
 # ---------------------------------------------------------------- grammar
 
 
-def _frequent(seq: np.ndarray, width: int, room: int, floor: int) -> np.ndarray:
+def _pairs(seq: np.ndarray, width: int) -> np.ndarray:
+    """A key for each pair of neighbours."""
+    if width == 4:
+        return seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    return seq[:-1] << np.uint32(16) | seq[1:]
+
+
+def _frequent(seq: np.ndarray, keys: np.ndarray, room: int, floor: int) -> np.ndarray:
     """Keys of the pairs to replace next, the most frequent first."""
-    keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if width == 4 else seq[:-1] << np.uint32(16) | seq[1:]
-    keys = np.sort(keys[(seq[:-1] != END_ID) & (seq[1:] != END_ID)])
+    inner = seq != END_ID
+    keys = np.sort(keys[inner[:-1] & inner[1:]])
     if not len(keys):
         return keys
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -136,9 +146,8 @@ def _frequent(seq: np.ndarray, width: int, room: int, floor: int) -> np.ndarray:
     return found[order]
 
 
-def _replace(seq: np.ndarray, chosen: np.ndarray, new: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with the chosen pairs (sorted keys) replaced; which rules were used."""
-    keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if width == 4 else seq[:-1] << np.uint32(16) | seq[1:]
+def _replace(seq: np.ndarray, keys: np.ndarray, chosen: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The sequence with the chosen pairs (sorted keys) replaced."""
     maybe = np.zeros(1 << 20, dtype=bool)  # most pairs are ruled out by a table of hashed keys
     hashed = lambda k: ((k * k.dtype.type(2654435761)) >> k.dtype.type(8)) & k.dtype.type((1 << 20) - 1)
     maybe[hashed(chosen)] = True
@@ -147,7 +156,7 @@ def _replace(seq: np.ndarray, chosen: np.ndarray, new: np.ndarray, width: int) -
     hit = chosen[where] == keys[at]
     at, where = at[hit], where[hit]
     if not len(at):
-        return seq, np.zeros(len(chosen), dtype=bool)
+        return seq
     begins = np.concatenate(([True], np.diff(at) != 1))  # of overlapping hits every second one counts
     run = np.flatnonzero(begins)
     taken = (np.arange(len(at)) - run[np.cumsum(begins) - 1]) % 2 == 0
@@ -156,9 +165,7 @@ def _replace(seq: np.ndarray, chosen: np.ndarray, new: np.ndarray, width: int) -
     seq[at] = new[where]
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
-    used = np.zeros(len(chosen), dtype=bool)
-    used[where] = True
-    return seq[keep], used
+    return seq[keep]
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +176,14 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS):
         if len(seq) < 2 or len(rules) >= limit:
             break
-        chosen = np.sort(_frequent(seq, width, limit - len(rules), MIN_COUNT))
+        keys = _pairs(seq, width)
+        chosen = np.sort(_frequent(seq, keys, limit - len(rules), MIN_COUNT))
         if not len(chosen):
             break
         shift = chosen.dtype.type(32 if width == 4 else 16)
         pairs = np.stack((chosen >> shift, chosen & chosen.dtype.type((1 << int(shift)) - 1)), axis=1).astype(np.uint32)
         new = (base + len(rules) + np.arange(len(chosen))).astype(np.uint32)
-        seq, _ = _replace(seq, chosen, new, width)
+        seq = _replace(seq, keys, chosen, new)
         rules = np.concatenate((rules, pairs))
     return seq, rules
 
@@ -281,13 +289,13 @@ def _write_shards(path: str):
         enc, part, number = encoder(path), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         parts: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal number, held, docs, parts
+            nonlocal number, held, before, docs, parts
             payload = pack(docs, parts, enc.base)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([payload], pa.binary())})
-            number, held, docs, parts = number + 1, 0, [], []
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            number, before, held, docs, parts = number + 1, before + held, 0, [], []
             return row
 
         end = struct.pack("<I", END_ID)
@@ -331,7 +339,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, target: str | None
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # range partitioning keeps the global order; rows of one doc_id stay together, in order of text
     ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_write_shards(tokenizer_path), "part int, number int, n_ids long, payload binary").write.mode("overwrite").parquet(target)
+    ordered.mapInArrow(_write_shards(tokenizer_path), "part int, number int, before long, n_ids long, payload binary").write.mode("overwrite").parquet(target)
     return target
 
 
@@ -339,12 +347,10 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the shards: doc_id, start, n_tokens, ids_crc32."""
     shards = spark.read.parquet(path)
     sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
-    sums = sums.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
-    bases = shards.select("part", "number", F.coalesce(inside, F.lit(0)).alias("inside"))  # without payloads
-    bases = bases.join(sums, "part").select("part", "number", (F.col("inside") + F.col("before")).alias("base"))
-    joined = shards.join(bases, ["part", "number"]).select("base", "payload")
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    # one row for each partition that wrote; payloads stay where they are
+    joined = shards.join(F.broadcast(sums), "part").select((F.col("ahead") + F.col("before")).alias("base"), "payload")
     return joined.mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
