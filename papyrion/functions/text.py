@@ -22,9 +22,12 @@ BRA_KET = r"\|[^|]+⟩|⟨[^⟩]+\|"
 META_NOTES = (r"(?iu)^[（(]?\s*(注|NOTE)\s*[:：]", r"(?i)(?:^|[^A-Za-z0-9_])node[_\s-]?\d+(?:$|[^A-Za-z0-9_])", r"(?i)(?:^|[^A-Za-z0-9_])sid(?:$|[^A-Za-z0-9_])", r"按规则|严格保留|不合并|不调整|原文此处编号有误")
 SHORTHAND = r"^(?:同上|同前|如上|上同|见上|见前)[。．.!！?？]*$|(?i)^(?:ibid\.?|same as above|see above|same as prior)[.?!]*$"
 SENTENCE_MARKS = r"[，。；：.!?]"
-FORMULA_SYMBOLS = r"[=<>≈≠≤≥±×÷∑∏∫√∞∂∇∈∉⊂⊆∪∩∀∃→←↔⇒⇔∝≡∼]"
-SCRIPT_MARKS = r"[₀-₉₋⁰-⁹⁻]"
-PRIVATE_USE = r"[\x{E000}-\x{F8FF}]"
+FORMULA_SYMBOLS = r"[=≈≤≥∑∫√^×÷∈∉∞∂∆∇∝⊂⊆⊕⊗→←↔±≠]"
+FORMULA_TOKENS = r"(?:^|[^A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]*\s*\(|(?:^|[^A-Za-z0-9_])(?:sin|cos|tan|log|ln|max|min|softmax)(?:$|[^A-Za-z0-9_])|[_^{}]|[₀-₉₋⁰-⁹⁻]"
+SCRIPT_MARKS = r"[_^₀-₉⁰-⁹]"
+GREEK = "[α-ωΑ-Ω]"
+MATH_FONT = r"(?i)^(?:CM|MSAM|MSBM|StandardSymL|Symbol|MTExtra)"
+PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 
 
 def _c(x: Column | str) -> Column:
@@ -256,12 +259,25 @@ def private_use(text: Column | str) -> Column:
 def formula_heavy(text: Column | str) -> Column:
     """FLT-17: text that is mainly formulas."""
     n = normalize(text)
-    symbols, scripts, braces = count(n, FORMULA_SYMBOLS), count(n, SCRIPT_MARKS), count(n, r"[_^{}]")
+    symbols, scripts, tokens = count(n, FORMULA_SYMBOLS), count(n, SCRIPT_MARKS), count(n, FORMULA_TOKENS)
     letters, latin = count(n, "[A-Za-z0-9]"), count(n, "[A-Za-z]")
-    tokens = braces + scripts
     return n.rlike(PRIVATE_USE) | ((symbols >= 2) & (tokens >= 2)) | ((tokens >= 4) & (letters >= 8)) | ((scripts >= 3) & (latin >= 4))
 
 
+def formula_like(text: Column | str) -> Column:
+    """FLT-17: text with signs of a formula."""
+    n = normalize(text)
+    symbols, tokens, words = count(n, FORMULA_SYMBOLS), count(n, FORMULA_TOKENS), count(n, WORD)
+    return ((symbols > 0) & (tokens >= 1)) | ((tokens >= 2) & (count(n, "[A-Za-z0-9]") >= 4) & (words <= 6)) | ((count(n, "[()]") >= 2) & (symbols >= 1))
+
+
+def formula_span(text: Column | str, font: Column) -> Column:
+    """FLT-16: a run that is set as a formula."""
+    n = normalize(text)
+    short = n.rlike(FORMULA_TOKENS) & (count(n, "[A-Za-z0-9]") <= 12)
+    return (n != "") & (F.coalesce(font, F.lit("")).rlike(MATH_FONT) | n.rlike(FORMULA_SYMBOLS) | short | n.rlike(GREEK))
+
+
 def orphan_punctuation(source: Column, translated: Column) -> Column:
     """FLT-15: only punctuation for a source of at least 8 characters with letters."""
     n, s = normalize(translated), normalize(source)

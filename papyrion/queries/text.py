@@ -95,7 +95,7 @@ k as (select x, n, regexp_matches(n, '(?i)^[（(]?\\s*(注|NOTE)\\s*[:：]')::in
     + regexp_matches(n, '(?i)(?:^|[^A-Za-z0-9_])sid(?:$|[^A-Za-z0-9_])')::int + regexp_matches(n, '按规则|严格保留|不合并|不调整|原文此处编号有误')::int as h from m)
 select h >= 2 or (h >= 1 and length(n) <= 120 and regexp_matches(n, '^[（(\\[]')) as note,
        regexp_matches(n, '^(?:同上|同前|如上|上同|见上|见前)[。．.!！?？]*$') or regexp_matches(n, '(?i)^(?:ibid\\.?|same as above|see above|same as prior)[.?!]*$') as shorthand,
-       regexp_matches(coalesce(x, ''), '[\\x{{E000}}-\\x{{F8FF}}]') as private_use, count(*) as n
+       regexp_matches(coalesce(x, ''), '[\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]') as private_use, count(*) as n
 from k group by 1, 2, 3
 """)
 def meta_note_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +105,15 @@ def meta_note_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_LINES}, m as (select {_N} as n from t),
-k as (select n, {_count("n", "[=<>≈≠≤≥±×÷∑∏∫√∞∂∇∈∉⊂⊆∪∩∀∃→←↔⇒⇔∝≡∼]")} as s, {_count("n", "[₀-₉₋⁰-⁹⁻]")} as i, {_count("n", "[_^{}]")} as b, {_count("n", "[A-Za-z0-9]")} as a, {_count("n", "[A-Za-z]")} as l from m)
-select regexp_matches(n, '[\\x{{E000}}-\\x{{F8FF}}]') or (s >= 2 and b + i >= 2) or (b + i >= 4 and a >= 8) or (i >= 3 and l >= 4) as heavy, count(*) as n, sum(s + i + b)::bigint as signs from k group by 1
+k as (select n, {_count("n", "[=≈≤≥∑∫√^×÷∈∉∞∂∆∇∝⊂⊆⊕⊗→←↔±≠]")} as s, {_count("n", "[_^₀-₉⁰-⁹]")} as i, {_count("n", text.FORMULA_TOKENS)} as b, {_count("n", "[A-Za-z0-9]")} as a, {_count("n", "[A-Za-z]")} as l from m)
+select regexp_matches(n, '[\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]') or (s >= 2 and b >= 2) or (b >= 4 and a >= 8) or (i >= 3 and l >= 4) as heavy,
+       (s > 0 and b >= 1) or (b >= 2 and a >= 4 and {_count("n", "[A-Za-z]{3,}")} <= 6) or ({_count("n", "[()]")} >= 2 and s >= 1) as formula, count(*) as n, sum(s + i + b)::bigint as signs from k group by 1, 2
 """)
 def formula_heavy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-17 over lines."""
     n = text.normalize("x")
-    signs = text.count(n, text.FORMULA_SYMBOLS) + text.count(n, text.SCRIPT_MARKS) + text.count(n, r"[_^{}]")
-    return lines(spark, sf_dir).groupBy(text.formula_heavy("x").alias("heavy")).agg(F.count("*").alias("n"), F.sum(signs).alias("signs"))
+    signs = text.count(n, text.FORMULA_SYMBOLS) + text.count(n, text.SCRIPT_MARKS) + text.count(n, text.FORMULA_TOKENS)
+    return lines(spark, sf_dir).groupBy(text.formula_heavy("x").alias("heavy"), text.formula_like("x").alias("formula")).agg(F.count("*").alias("n"), F.sum(signs).alias("signs"))
 
 
 @query(r"""
