@@ -1,3 +1,3 @@
 """Registered queries, by theme. Importing this package registers all of them."""
 
-from papyrion.queries import flow, layout, mining, text  # noqa: F401
+from papyrion.queries import flow, layout, markup, mining, text  # noqa: F401
