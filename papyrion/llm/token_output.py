@@ -46,6 +46,8 @@ SHARD_IDS = 1 << 20
 MIN_COUNT, ROUNDS, RULES_A_ROUND = 12, 4, 6000
 #: Cached pieces of text with their ids, for each Python worker: those learned first stay, later ones take turns.
 CACHE_ENTRIES, PASSING_ENTRIES = 800_000, 100_000
+#: Texts that are encoded together.
+ENCODED = 2048
 
 
 # ---------------------------------------------------------------- encoding
@@ -74,6 +76,7 @@ class TextEncoder:
         self.mark = mark[0] if len(mark) == 1 and alone else None
         self.cache: dict[str, bytes] = {}
         self.passing: list[str] = []
+        self.first: dict[str, bytes] = {}  # pieces that begin a text have no space
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -101,13 +104,18 @@ class TextEncoder:
             for piece in self.passing:
                 self.cache.pop(piece, None)
             self.passing.clear()
+        if len(self.first) > PASSING_ENTRIES:
+            self.first.clear()
         split = [t.split(" ") for t in texts]
         fresh = set().union(*split).difference(self.cache)
         self._learn([p for p in fresh if p and not p.isspace()])
         out, get = [], self.cache.__getitem__
         for text, pieces in zip(texts, split, strict=True):
+            head = pieces[0]
+            if head not in self.first:
+                self.first[head] = np.asarray(self._ids(head), dtype="<u4").tobytes()
             try:
-                out.append(np.asarray(self._ids(pieces[0]), dtype="<u4").tobytes() + b"".join(map(get, pieces[1:])))
+                out.append(b"".join([self.first[head], *map(get, pieces[1:])]))
             except KeyError:
                 out.append(np.asarray(self._ids(text), dtype="<u4").tobytes())
         return out
@@ -203,21 +211,16 @@ def _expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that a sequence of symbols stands for."""
-    deep = seq >= base
-    if not deep.any():
+    if not (seq >= base).any():
         return seq.astype(np.uint32)
     bodies, sizes = _expansions(rules, base)
-    begin = np.cumsum(sizes, dtype=np.int64) - sizes
-    rule = seq[deep].astype(np.int64) - base
-    lengths = np.ones(len(seq), dtype=np.int64)
-    lengths[deep] = sizes[rule]
-    starts = np.cumsum(lengths) - lengths
-    out = np.empty(int(lengths.sum()), dtype=np.uint32)
-    out[starts[~deep]] = seq[~deep]
-    n = lengths[deep]
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(starts[deep], n) + within] = bodies[np.repeat(begin[rule], n) + within]
-    return out
+    # every symbol is a stretch of one table: a plain id of itself, a nonterminal of its body
+    table = np.concatenate((np.arange(base, dtype=np.uint32), bodies))
+    size = np.concatenate((np.ones(base, dtype=np.int32), sizes.astype(np.int32)))
+    begin = np.concatenate((np.arange(base, dtype=np.int64), base + np.cumsum(sizes, dtype=np.int64) - sizes))
+    lengths = size[seq]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return table[np.repeat(begin[seq] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
 
 
 def pack(doc_ids: list[int | None], parts: list[bytes], base: int) -> bytes:
@@ -300,8 +303,8 @@ def _write_shards(path: str):
 
         end = struct.pack("<I", END_ID)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ENCODED):
+                some = batch.slice(at, ENCODED)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc, raw in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
                     docs.append(doc)
