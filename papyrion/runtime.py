@@ -36,7 +36,8 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    for key, value in {**settings, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
+    named = {"spark_sql_shuffle_partitions": "spark.sql.shuffle.partitions", "spark_checkpoint_dir": "spark.checkpoint.dir", "spark_sql_warehouse_dir": "spark.sql.warehouse.dir", "spark_driver_memory": "spark.driver.memory"}
+    for key, value in {**settings, **{named.get(k, k.replace("_", ".")): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return ship_package(builder.getOrCreate())
 
