@@ -112,17 +112,24 @@ def _calibrate(model: Logistic, rows: list[tuple[np.ndarray, np.ndarray]], y: np
     """Platt scaling: scale and shift of the logits; never a negative scale."""
     z = np.array([model.logit(*r) for r in rows])
     target = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
+    spread = max(float(z.std()), 1e-9)
+    u = (z - z.mean()) / spread  # Newton on standard logits, steps halved until the loss falls
+    loss = lambda p: float(np.logaddexp(0, p[0] * u + p[1]).sum() - (target * (p[0] * u + p[1])).sum() + 0.05 * p[0] ** 2)
+    p = np.array([1.0, 0.0])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        d = p * (1 - p)
-        grad = np.array([((p - target) * z).sum() + 0.1 * (a - 0.0), (p - target).sum()])
-        hess = np.array([[(d * z * z).sum() + 0.1, (d * z).sum()], [(d * z).sum(), d.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
+        q = 1 / (1 + np.exp(-np.clip(p[0] * u + p[1], -30, 30)))
+        d = q * (1 - q)
+        grad = np.array([((q - target) * u).sum() + 0.1 * p[0], (q - target).sum()])
+        hess = np.array([[(d * u * u).sum() + 0.1, (d * u).sum()], [(d * u).sum(), d.sum() + 1e-6]])
+        step, now = np.linalg.solve(hess, grad), loss(p)
+        rate = next((r for r in 0.5 ** np.arange(30) if loss(p - r * step) <= now), 0.0)
+        p = p - rate * step
+        if rate * np.abs(step).max() < 1e-9:
             break
-    model.scale, model.shift = (max(float(a), 0.0), float(b)) if a > 0 else (0.0, float(math.log(target.mean() / (1 - target.mean()))))
+    if p[0] > 0:
+        model.scale, model.shift = float(p[0] / spread), float(p[1] - p[0] * z.mean() / spread)
+    else:
+        model.scale, model.shift = 0.0, float(math.log(target.mean() / (1 - target.mean())))
 
 
 @dataclass
