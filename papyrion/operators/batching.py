@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.operators.grouped import each
+
 #: Characters and rows of a batch by mode; 0: no limit.
 LIMITS = {"epub": (5000, 0), "html": (5000, 0), "subtitle": (6000, 24), "pdf": (5000, 1)}
 
@@ -26,9 +27,8 @@ def batches(nodes: DataFrame, key: str, order: str, size: str, mode: str = "epub
     chars, rows = LIMITS[mode]
     slim = nodes.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        return pdf.assign(b=assign(pdf["s"].tolist(), chars, rows))
+    def run(group: list[dict]) -> list[dict]:
+        return [{**r, "b": b} for r, b in zip(group, assign([r["s"] or 0 for r in group], chars, rows), strict=True)]
 
     kind = slim.schema["k"].dataType.simpleString()
-    return slim.groupBy("k").applyInPandas(run, f"k {kind}, o long, s long, b long").select(F.col("k").alias(key), F.col("o").alias(order), F.col("s").alias(size), F.col("b").alias("batch"))
+    return each(slim, ["k"], ["o"], run, f"k {kind}, o long, s long, b long").select(F.col("k").alias(key), F.col("o").alias(order), F.col("s").alias(size), F.col("b").alias("batch"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions.text import normalize, strip_model_marks
+from papyrion.operators.grouped import each
 
 # Tokens of plain text, in order of preference, and fragments without weight.
 TOKENS = (
@@ -102,20 +101,20 @@ def suppress_tails(blocks: DataFrame) -> DataFrame:
     slim = blocks.select("doc", "page", "id", F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), strip_model_marks(F.coalesce("translatedText", F.lit(""))).alias("translatedText"), F.coalesce("sequence", F.lit(False)).alias("sequence"))
     sign = lambda t: "".join(c for c in t if c.isalnum())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "y", "x", "id"])
-        texts, last = [], None
-        for page, y, text, sequence in zip(pdf["page"], pdf["y"], pdf["translatedText"], pdf["sequence"], strict=True):
-            if sequence and last is not None and last[0] == page:
-                a, b = sign(last[2]), sign(text)
-                if min(len(a), len(b)) >= 10 and (b in a or (y - last[1] >= -2 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82)):
+    def run(rows: list[dict]) -> list[dict]:
+        out, last = [], None
+        for r in rows:
+            text = r["translatedText"]
+            if r["sequence"] and last is not None and last["page"] == r["page"]:
+                a, b = sign(last["text"]), sign(text)
+                if min(len(a), len(b)) >= 10 and (b in a or (r["y"] - last["y"] >= -2 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82)):
                     text = ""
-            texts.append(text)
-            last = (page, y, text) if sequence else None
-        return pd.DataFrame({"doc": pdf["doc"], "id": pdf["id"], "translatedText": texts})
+            out.append({"doc": r["doc"], "id": r["id"], "translatedText": text})
+            last = {**r, "text": text} if r["sequence"] else None
+        return out
 
     kind = slim.schema["doc"].dataType.simpleString()
-    return slim.groupBy("doc").applyInPandas(run, f"doc {kind}, id string, translatedText string")
+    return each(slim, ["doc"], ["page", "y", "x", "id"], run, f"doc {kind}, id string, translatedText string")
 
 
 # ---------------------------------------------------------------- drawings and content streams
@@ -131,21 +130,20 @@ def cluster_segments(segments: DataFrame, key: tuple[str, ...] = ("doc", "page")
     """WIN-15: adds ``cluster``: segments join the first cluster whose mean ends are near; a page is one group."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", "x1", "y"])
-        groups: list[list[tuple[float, float]]] = []
-        names = []
-        for a, b in zip(pdf["x0"], pdf["x1"], strict=True):
-            mean = lambda g, k: sum(r[k] for r in g) / len(g)
-            at = next((n for n, g in enumerate(groups) if abs(a - mean(g, 0)) <= tolerance and abs(b - mean(g, 1)) <= tolerance), None)
+    def run(rows: list[dict]) -> list[dict]:
+        sums: list[list[float]] = []  # of each cluster: members, sum of left ends, sum of right ends
+        out = []
+        for r in rows:
+            a, b = r["x0"], r["x1"]
+            at = next((k for k, (n, p, q) in enumerate(sums) if abs(a - p / n) <= tolerance and abs(b - q / n) <= tolerance), None)
             if at is None:
-                at = len(groups)
-                groups.append([])
-            groups[at].append((a, b))
-            names.append(at)
-        return pdf.assign(cluster=names)
+                at = len(sums)
+                sums.append([0, 0.0, 0.0])
+            sums[at] = [sums[at][0] + 1, sums[at][1] + a, sums[at][2] + b]
+            out.append({**r, "cluster": at})
+        return out
 
-    return segments.groupBy(*key).applyInPandas(run, f"{kinds}, cluster long")
+    return each(segments, list(key), ["x0", "x1", "y"], run, f"{kinds}, cluster long")
 
 
 def text_objects(instructions: DataFrame, key: tuple[str, ...] = ("doc", "page", "stream")) -> DataFrame:
@@ -169,15 +167,3 @@ def strip_text_objects(instructions: DataFrame, kept: DataFrame, key: tuple[str,
     rows = instructions.withColumns({"object": begun - 1, "_in": (begun > ended) | (F.col("op") == "ET")})
     inside = rows.where("_in").join(kept.select(*key, "object"), [*key, "object"], "left_semi")
     return inside.select(*instructions.columns).unionByName(rows.where("not _in").select(*instructions.columns))
-
-
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of at most ``size`` items."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held

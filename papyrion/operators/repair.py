@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions import geom
 from papyrion.functions.text import compact, meta_note, normalize, occurrences, shorthand
+from papyrion.operators.grouped import each
 
 LONGEST = 4
 SENTENCE_END = r"[.!?。！？…][\"'”’」』）)]*$"
@@ -62,9 +62,8 @@ def repair(blocks: DataFrame, mend: Callable[[list[str], list[str]], list[str |
     """
     slim = runs(pairs(blocks, doc), doc).select(F.col(doc).alias("doc"), "run", "place", "id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("translatedText", F.lit("")).alias("translatedText"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        sources, texts = pdf["text"].tolist(), pdf["translatedText"].tolist()
+    def run(rows: list[dict]) -> list[dict]:
+        sources, texts = [r["text"] for r in rows], [r["translatedText"] for r in rows]
         done, at = [False] * len(texts), 0
         while at < len(texts):
             end = min(at + LONGEST, len(texts))
@@ -75,10 +74,10 @@ def repair(blocks: DataFrame, mend: Callable[[list[str], list[str]], list[str |
                     at = end
                     continue
             at += 1
-        return pd.DataFrame({"doc": pdf["doc"], "id": pdf["id"], "translatedText": texts, "repaired": done})
+        return [{"doc": r["doc"], "id": r["id"], "translatedText": t, "repaired": d} for r, t, d in zip(rows, texts, done, strict=True)]
 
     kind = slim.schema["doc"].dataType.simpleString()
-    return slim.groupBy("doc", "run").applyInPandas(run, f"doc {kind}, id string, translatedText string, repaired boolean")
+    return each(slim, ["doc", "run"], ["place"], run, f"doc {kind}, id string, translatedText string, repaired boolean")
 
 
 def needle(text: Column) -> Column:

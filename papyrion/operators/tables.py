@@ -14,10 +14,11 @@ from functools import cached_property
 from itertools import pairwise
 from statistics import median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.operators.grouped import each
+
 Box = tuple[float, float, float, float]
 
 # Kinds of blocks that never are table bodies, words and signs of algorithms and formulas.
@@ -552,17 +553,16 @@ def detect(blocks: DataFrame, rules: DataFrame | None = None, most_gap: float =
     if rules is not None:
         rows = rows.unionByName(rules.select("doc", F.col("page").cast("int").alias("page"), F.lit(None).cast("string").alias("block"), F.col("bbox").alias("rule")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, page = pdf["doc"].iloc[0], int(pdf["page"].iloc[0])
-        raw = sorted((json.loads(b) for b in pdf["block"] if b is not None), key=lambda r: ((r.get("bbox") or [0, 0, 0, 0])[1], (r.get("bbox") or [0, 0, 0, 0])[0], str(r.get("id"))))
-        lines = sorted(tuple(map(float, r)) for r in pdf["rule"] if r is not None)
+    def run(group: list[dict]) -> list[dict]:
+        doc, page = group[0]["doc"], int(group[0]["page"])
+        raw = sorted((json.loads(r["block"]) for r in group if r["block"] is not None), key=lambda r: ((r.get("bbox") or [0, 0, 0, 0])[1], (r.get("bbox") or [0, 0, 0, 0])[0], str(r.get("id"))))
+        lines = sorted(tuple(map(float, r["rule"])) for r in group if r["rule"] is not None)
         found = detect_page(page, raw, lines, most_gap) if raw else []
         if raw and not any(s["kind"] == "table" for s in found):
             found = sorted(found + detect_turned(page, raw, most_gap), key=lambda s: (s["bbox"][1], s["bbox"][0]))
-        return pd.DataFrame([{"doc": doc, "page": page, **s} for s in found], columns=[c.split()[0] for c in schema.split(", ")])
+        return [{"doc": doc, "page": page, **s} for s in found]
 
-    schema = STRUCTURES.format(doc=blocks.schema["doc"].dataType.simpleString())
-    return rows.groupBy("doc", "page").applyInPandas(run, schema)
+    return each(rows.where("page is not null"), ["doc", "page"], [], run, STRUCTURES.format(doc=blocks.schema["doc"].dataType.simpleString()))
 
 
 def mark(blocks: DataFrame, structures: DataFrame) -> DataFrame:
