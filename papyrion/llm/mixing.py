@@ -62,9 +62,15 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -
     rows without words never. Equal finish times go by shuffle key, then doc_id. An empty table
     gives an empty result.
     """
+    served = _served(docs, F.monotonically_increasing_id(), seed, weights)
+    return served.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+def _served(docs: DataFrame, row: Column, seed: int, weights: tuple[int, ...]) -> DataFrame:
+    """One row per document: row (its number), doc_id, source, size, copies, source_size, target."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
-    sized = settle(sized.withColumn("key", _shuffled(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id()))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), row.alias("row"))
+    sized = settle(sized.withColumn("key", _shuffled(F.col("doc_id"), seed)))
     goals = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
 
     # words of the source before each slice of it, then running sums inside the slices
@@ -97,28 +103,15 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -
     taken = queue.join(F.broadcast(whole), "range", "left_semi").select("row").unionByName(last.select("row"))  # as many rows as ranges
     taken = taken.groupBy("row").agg(F.count("*").alias("copies"))
     out = sized.join(taken, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    return out.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("source").alias("source")
-    )
+    return out.join(goal, F.col("source").eqNullSafe(F.col("s"))).select("row", "doc_id", "source", "size", "copies", "source_size", "target")
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them.
 
-    Rows that share doc_id, source and size are one: the first of them stands for all, as often
-    as all are taken.
+    Every row has a number of its own, settled together with its text, so rows that share
+    doc_id, source and size (all null ids do) are told apart, and each comes as often as it is taken.
     """
-    size = word_count(F.col("text"))
-    key = [F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), size.alias("_size")]
-    plan = mix(docs, seed, weights).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    plan = settle(plan.agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
-    keyed = docs.select("*", *key)
-
-    def joined(rows: DataFrame, some: DataFrame) -> DataFrame:
-        some = some.select(*(F.col(c).alias(f"{c}2") for c in ("_doc", "_source", "_size")), "_copies")
-        same = F.col("_doc").eqNullSafe(F.col("_doc2")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_size") == F.col("_size2"))
-        return rows.join(some, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-
-    repeated = plan.where("_rows > 1")
-    several = keyed.join(repeated.select("_doc", "_source", "_size"), ["_doc", "_source", "_size"], "left_semi").dropDuplicates(["_doc", "_source", "_size"])
-    return joined(keyed, plan.where("_rows = 1")).unionByName(joined(several, repeated))
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = _served(rows, F.col("_row"), seed, weights).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

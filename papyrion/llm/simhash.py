@@ -234,6 +234,15 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v)], names=[*batch.schema.names, "v"])
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id): the component of each fingerprint and its smallest doc_id."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(_mixed, "fp long, first long, v long"))
+    roots = components(links(distinct))
+    named = distinct.join(roots, "v", "left").select("fp", "first", F.coalesce("root", "v").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
 
@@ -243,21 +252,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     prints = settle(fingerprints(docs))
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).mapInArrow(_mixed, "fp long, first long, v long"))
-    roots = components(links(distinct))
-    named = distinct.join(roots, "v", "left").select("fp", "first", F.coalesce("root", "v").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
+    classes = _classes(prints).drop("root")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the smallest doc_id of each component stays.
 
-    Of repeated rows with that doc_id one stays; rows with a null doc_id stay all.
+    Of its rows with that doc_id one stays. Different texts under one doc_id are judged each, by
+    their own component; rows with a null doc_id stay all.
     """
-    keepers = near_duplicates(docs).groupBy("doc_id", "component_id").count().where("doc_id = component_id")
-    keepers = settle(keepers.groupBy("doc_id").agg(F.sum("count").alias("rows")))
+    prints = settle(fingerprints(docs))
+    classes = _classes(prints)
+    judged = prints.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    keepers = settle(judged.where("first = 1").select("doc_id", "rows"))
     single = docs.join(keepers.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(keepers.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id"])).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    several = keepers.where("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return kept
+    copies = settle(docs.join(several, "doc_id", "left_semi").select(*docs.columns).withColumn("_row", F.monotonically_increasing_id()))
+    marked = fingerprints(copies.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    own = copies.select("_row", F.col("doc_id").cast("long")).join(marked, "_row").join(classes, "fp").where("doc_id = component_id")
+    own = own.groupBy("doc_id", "root").agg(F.min("_row").alias("_row")).select("_row")
+    return kept.unionByName(copies.join(own, "_row", "left_semi").select(*docs.columns))

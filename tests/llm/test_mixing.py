@@ -99,6 +99,20 @@ def test_apply_mix_repeats_rows(spark, rows):
     assert got == {k: v for k, v in copies.items() if v}
 
 
+def test_apply_mix_keeps_texts_apart(spark):
+    """Different texts under one id (or none), of one source and size, each come as often as they are taken."""
+    rows = [(None, f"text{k} of five words here", "a") for k in range(40)] + [(7, f"other{k} three words", "b") for k in range(6)]
+    rows += [(100 + k, "w " * 9, "b") for k in range(3)]
+    df = make(spark, rows)
+    got = {}
+    for r in mixing.apply_mix(df).collect():
+        got[r.text] = got.get(r.text, 0) + 1
+    plan = [r for r in mixing.mix(df).collect() if r.copies]
+    assert max(v for t, v in got.items() if t[0] in "to") <= mixing.MOST_COPIES
+    for key in (None, 7):
+        assert sorted(r.copies for r in plan if r.doc_id == key) == sorted(v for t, v in got.items() if t.startswith("text" if key is None else "other"))
+
+
 def test_oracle(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")

@@ -104,6 +104,12 @@ def test_keep_first(spark):
     assert out.where("doc_id is null").count() == 1
 
 
+def test_keep_first_judges_texts_under_one_id_each(spark):
+    one, two, three = (f"{w} one two three four five six seven eight nine ten {w} " * 3 for w in ("apple", "river", "stone"))
+    rows = [(5, one, "a", "", 0, ""), (5, two, "b", "", 0, ""), (5, two, "b", "", 0, ""), (5, three, "c", "", 0, ""), (3, three, "d", "", 0, ""), (9, one, "e", "", 0, "")]
+    assert sorted((r.doc_id, r.lang) for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()) == [(3, "d"), (5, "a"), (5, "b")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_first(df).count() == 0
