@@ -41,11 +41,16 @@ select p.doc, 1::bigint as tables, n as rows from p where n >= 2 and not exists
 """)
 def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TBL-01 and WIN-16: orders whose line numbers leave no gap over 16 points are one table."""
-    found = tables.detect(grid(spark, sf_dir)).where("kind = 'table'")
-    whole = found.groupBy("doc").agg(F.count("*").alias("tables"), F.sum(F.size("bodyBlockIds")).alias("rows"))
     holes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("l_linenumber")).alias("k"))
     even = F.forall(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.get("k", i) - F.get("k", i - 1) <= 2)
-    return whole.join(holes.where((F.size("k") >= 2) & even), "doc", "left_semi")
+    return table_detect_all(spark, sf_dir).join(holes.where((F.size("k") >= 2) & even), "doc", "left_semi")
+
+
+@query()
+def table_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TBL-01 and WIN-16: the tables of every order, split at its gaps or not; the SQL of ``table_detect`` knows orders without wide gaps only."""
+    found = tables.detect(grid(spark, sf_dir)).where("kind = 'table'")
+    return found.groupBy("doc").agg(F.count("*").alias("tables"), F.sum(F.size("bodyBlockIds")).alias("rows"))
 
 
 @query("""
@@ -53,10 +58,15 @@ select l_orderkey as doc, count(distinct l_linenumber) as marked from lineitem w
 """)
 def table_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-15: blocks of tables without gaps become preserved table blocks."""
+    n = grid(spark, sf_dir).where("id <> 'cap'").groupBy("doc").agg(F.count("*").alias("n"), F.max(F.substring("id", 2, 9).cast("int")).alias("last"))
+    return table_marks_all(spark, sf_dir).join(n.where("n = last and n >= 2"), "doc", "left_semi")
+
+
+@query()
+def table_marks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-15: preserved table blocks of every order; the SQL of ``table_marks`` knows orders numbered without a gap only."""
     g = grid(spark, sf_dir).withColumns({"preserveOriginal": F.lit(False), "preserveReason": F.lit("")})
-    done = tables.mark(g, tables.detect(g)).where("tableRole = 'table_body' and preserveOriginal").groupBy("doc").agg(F.count("*").alias("marked"))
-    n = g.where("id <> 'cap'").groupBy("doc").agg(F.count("*").alias("n"), F.max(F.substring("id", 2, 9).cast("int")).alias("last"))
-    return done.join(n.where("n = last and n >= 2"), "doc", "left_semi")
+    return tables.mark(g, tables.detect(g)).where("tableRole = 'table_body' and preserveOriginal").groupBy("doc").agg(F.count("*").alias("marked"))
 
 
 def mend(sources: list[str], texts: list[str]) -> list[str | None]:

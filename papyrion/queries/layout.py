@@ -105,6 +105,12 @@ def periphery_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.groupBy("doc").agg(F.count("*").alias("n"))
 
 
+@query()
+def periphery_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-15 and FLT-25 by document, with what the margin rules find; the SQL of ``periphery_blocks`` knows repeated signatures only."""
+    return layout.periphery(blocks(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("n"))
+
+
 _SIZES = "s as (select l_orderkey as page, l_linenumber as pos, l_quantity / 3.0 as size, (l_extendedprice / 100.0)::double as width, l_returnflag as flag from lineitem)"
 
 

@@ -4,6 +4,7 @@ import pytest
 
 import papyrion.queries  # noqa: F401
 from papyrion import registry
+from papyrion.operators import tables
 
 
 @pytest.fixture
@@ -30,3 +31,44 @@ def test_escaped_urls_are_normalised(run):
     pages = [(1, "http://a.b/Text/Ch%201.xhtml#a"), (2, "./a+b%2Bc"), (3, "http://a.b/c"), (4, "x/%zz")]
     found = run("href_normalize", pages=(pages, "page_id long, url string"))
     assert sorted(map(tuple, found)) == [(1, "http://a.b/text/ch 1.xhtml", "ch 1.xhtml"), (2, "a+b+c", "a+b+c"), (3, "http://a.b/c", "c"), (4, "x/%zz", "%zz")]
+
+
+def page_of(lines):
+    """The page that ``documents.grid`` makes of the lines {number: (quantity, part, supplier, price)}."""
+    line = lambda box, items: [{"bbox": box, "items": [{"type": "text", "text": t, "bbox": b} for t, b in items]}]
+    base = {"pageWidth": 612.0, "fontSize": 9.0, "role": "paragraph"}
+    box = [80.0, 88.0, 460.0, 100.0]
+    out = [{**base, "id": "cap", "bbox": box, "text": "Table 1: order 1", "blockType": "caption", "layoutLines": line(box, [("Table 1", [80.0, 88.0, 130.0, 97.0])])}]
+    for k, values in sorted(lines.items()):
+        top = 100.0 + 12 * k
+        box, words = [80.0, top, 460.0, top + 9], [str(int(v)) for v in values]
+        out.append({**base, "id": f"r{k}", "bbox": box, "text": " ".join(words * 2), "blockType": "table_body", "layoutLines": line(box, [(w, [80.0 + 110 * i, top, 130.0 + 110 * i, top + 9]) for i, w in enumerate(words)])})
+    return out
+
+
+def test_tables_of_pages_with_gaps(run):
+    """Orders with and without gaps; a gap over 34 points parts two tables, a smaller one does not."""
+    orders = {1: (1, 2, 3), 2: (1, 2, 6, 7), 3: (1, 2, 5, 6), 4: (2, 3), 5: (1,), 6: (1, 2, 7), 7: (3, 7), 8: (1, 2, 5)}
+    rows = [(o, k, float(10 + k), 100 * o + k, 7 * k, 1000.5 * k) for o, ks in orders.items() for k in ks]
+    item = (rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long, l_suppkey long, l_extendedprice double")
+    want = {}
+    for o in orders:
+        lines = {k: (q, p, s, x) for i, k, q, p, s, x in rows if i == o}
+        found = [t for t in tables.detect_page(1, page_of(lines), []) if t["kind"] == "table"]
+        if found:
+            want[o] = (len(found), sum(len(t["bodyBlockIds"]) for t in found), len({i for t in found for i in t["bodyBlockIds"]}))
+    assert want[1] == (1, 3, 3) and want[2] == (2, 4, 4) and want[3] == (1, 4, 4)
+    detected = {r.doc: (r.tables, r["rows"]) for r in run("table_detect_all", lineitem=item)}
+    assert detected == {o: v[:2] for o, v in want.items()}
+    assert {r.doc: r.marked for r in run("table_marks_all")} == {o: v[2] for o, v in want.items()}
+
+
+def test_periphery_by_rules(run):
+    """Signatures on two pages, and blocks that only a margin rule finds: an identifier on top, a page number at the bottom."""
+    page = lambda top, bottom: [top, *(f"plain line {w} of text" for w in "abcdefghij"), bottom]
+    docs = [
+        (1, "\n".join(page("arXiv:1706 [cs.CL] 2017", "42"))), (2, "\n".join(page("Running title", "7") + page("Running title", "8"))),
+        (3, "\n".join(page("Plain top", "plain bottom"))), (4, "\n".join(page("Plain top", "1234"))), (5, None),
+    ]
+    found = {r.doc: r.n for r in run("periphery_blocks_all", documents=(docs, "doc_id long, text string"))}
+    assert found == {1: 2, 2: 4}
