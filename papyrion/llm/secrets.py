@@ -2,11 +2,13 @@
 
 Everything runs in DataFrame operations and the JVM's random forest; no Python on executors.
 
-*Candidates* are runs of token characters with at least one digit, cut out of words; a document
-without any is dropped by one regular expression before its words are looked at.
+*Candidates* are runs of token characters with a digit, with both cases or with the beginning of an
+issued key, cut out of words; and values after a word that asks for a secret, which may be shorter
+and hold other characters. A document without either is dropped by regular expressions before its
+words are looked at.
 
 *Features* of a candidate are its length, how often the class of characters changes, its
-variety, shares of digits, capitals and hexadecimal digits, how much of it dictionary parts
+variety, shares of digits, capitals, hexadecimal digits and other characters, how much of it dictionary parts
 cover, words of its path, and the words around it.
 
 The forest learns from *labelled findings* (candidate, before, after, path, label). By default
@@ -24,8 +26,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Token characters: at least 12 of them, one a digit. Longer runs are one candidate each.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+={0,2}"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Labelled findings that are drawn where none are given; trees and depth of the forest.
 DRAWN, TREES, DEPTH, SEED = 4000, 24, 7, 42
@@ -38,7 +38,16 @@ PLACES = "test|example|fixture|sample|lock|vendor|doc"
 #: Beginnings of issued keys.
 ISSUED = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29|eyJ|SG|npm_|pypi-"
 
-FEATURES = ("size", "changes", "variety", "digits", "capitals", "hexadecimal", "covered", "issued", "asked", "told", "assigned", "quoted", "place", "dashes", "vowels")
+#: Token characters: at least 12 of them, with a digit, both cases or an issued beginning. Longer runs are one candidate each.
+TOKEN = rf"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9]|[A-Z_+/\-]*+[a-z][a-z_+/\-]*+[A-Z]|[A-Z][A-Z_+/\-]*+[a-z]|(?:{ISSUED}))[A-Za-z0-9_+/\-]{{12,}}+={{0,2}}"
+#: A word that asks for a secret with a sign of assignment; the same at the end of what stands before a value.
+ASSIGNS = rf"(?i:{ASKS})[\"'`]?[=:]{{1,2}}>?[\"'`]?"
+ASKED = rf"(?i)(?:^|[^A-Za-z])(?:{ASKS})[^A-Za-z0-9]*$"
+#: A value after such a word: at least 8 characters up to white space, a quote or the next parameter of a url, without closing punctuation.
+VALUE = rf"(?<={ASSIGNS})(?![=:>])(?:(?!&[A-Za-z_]+=)[^\x00-\x20\"'`]){{7,}}(?<!&)(?!&[A-Za-z_]+=)[^\x00-\x20\"'`.,;:)\]}}>]"
+CANDIDATE = rf"{VALUE}|{TOKEN}"
+
+FEATURES = ("size", "changes", "variety", "digits", "capitals", "hexadecimal", "covered", "issued", "asked", "told", "assigned", "quoted", "place", "dashes", "vowels", "marks")
 
 
 def _share(text: Column, pattern: str, of: Column) -> Column:
@@ -58,13 +67,14 @@ def featured(findings: DataFrame) -> DataFrame:
         "hexadecimal": _share(c, "[0-9a-f]", c),
         "covered": 1 - F.length(F.regexp_replace(low, f"(?:{PARTS})", "")) / F.greatest(F.length(c), F.lit(1)),
         "issued": flag(c.rlike(f"^(?:{ISSUED})")),
-        "asked": flag(F.col("before").rlike(rf"(?i)(?:^|[^A-Za-z])(?:{ASKS})[^A-Za-z0-9]*$")),
+        "asked": flag(F.col("before").rlike(ASKED)),
         "told": flag(F.col("before").rlike(rf"(?i)(?:^|[^A-Za-z])(?:{TELLS})[^A-Za-z0-9]*$")),
         "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "place": flag(F.lower(F.coalesce("path", F.lit(""))).rlike(f"(?:{PLACES})")),
         "dashes": _share(c, r"[_/\-]", c),
         "vowels": _share(low, "[aeiou]", c),
+        "marks": _share(c, r"[^A-Za-z0-9_+/\-=]", c),
     }
     return findings.withColumns({k: v.cast("double") for k, v in columns.items()})
 
@@ -82,6 +92,14 @@ def drawn_findings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
     number = F.regexp_replace(F.concat(h(7), h(8)), "[a-f]", "")
     uuid = F.concat_ws("-", *(F.substring(h(9), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     name = F.concat(pick(10, "user", "item", "image", "module", "page", "layer", "example", "test", "release"), F.lit("_"), pick(11, "name", "index", "default", "value", "list", "public", "data"), F.lit("_"), F.substring(number, 1, 4))
+    letters = lambda k: F.translate(mixed(k), "0123456789", "qWzRtYpSdF")
+    syllable = lambda k: pick(k, "ge", "ver", "schwin", "dig", "keit", "wal", "tung", "in", "for", "ma", "tion", "com", "mu", "ni", "ca", "re", "spon", "sa", "bil", "lich", "con", "des", "ar", "men", "to")
+    long_word = F.concat(*(syllable(k) for k in range(30, 36)))
+    short_word = pick(36, "required", "protected", "information", "manager", "settings", "authentication", "validation", "rotation", "encryption", "expiration", "generator", "forgotten", "disabled", "undefined")
+    mark = lambda k: pick(k, "!", "@", "#", "$", ".", "%", "&", "*", "?", "^")
+    camel = F.concat(pick(37, "get", "set", "User", "Abstract", "create", "Default", "is"), pick(38, "Account", "Session", "Document", "Request", "Message"), pick(39, "Manager", "Factory", "Handler", "Service", "Controller", "Name"))
+    compound = F.concat(F.initcap(syllable(40)), syllable(41), syllable(42), pick(43, "-", "/"), pick(44, "", "A", "B"), syllable(45), syllable(46), syllable(47))
+    code = pick(48, "os.environ.get", "request.headers", "getPassword()", "<password>", "${DB_PASSWORD}", "********", "config.auth.token", "https://example.com/login", "user@example.com", "self._password", "process.env.SECRET", "{{secret_key}}", "[REDACTED]")
     path = F.concat(pick(12, "src/", "docs/", "assets/images/", "lib/static/"), name)
     kinds = [
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.concat(word, F.lit(" ")), " ", 1),
@@ -96,6 +114,18 @@ def drawn_findings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
         (F.concat(pick(21, "example", "your", "changeme", "dummy", "sample"), pick(22, "_token_", "_password_", "_key_"), F.lit("1234")), asked, "", 0),
         (F.concat(F.lit("xxxxxxxxxxxx"), F.substring(number, 1, 2)), asked, "", 0),
         (F.concat(F.lit("2024-"), F.substring(number, 1, 2), F.lit("-"), F.substring(number, 3, 2), F.lit("-"), F.substring(number, 5, 4)), F.concat(word, F.lit(" ")), " ", 0),
+        (F.concat(F.lit("AKIA"), F.substring(F.upper(letters(49)), 1, 16)), F.concat(word, F.lit(" ")), " ", 1),
+        (cut(letters(50), 51, 12, 16, 20, 24, 32, 40), asked, "", 1),
+        (cut(mixed(52), 53, 8, 9, 10, 11), asked, "", 1),
+        (F.concat(cut(mixed(54), 55, 3, 4, 6), mark(56), cut(mixed(57), 58, 4, 5, 8), mark(59), F.substring(number, 1, 2)), asked, "", 1),
+        (F.concat(F.initcap(syllable(60)), syllable(61), pick(62, "", "x", "T"), F.substring(number, 7, 4), mark(63), pick(64, "", "z", "Q")), asked, "", 1),
+        (F.concat(pick(65, "ghp_", "sk_live_", "glpat-", "npm_"), cut(letters(66), 67, 20, 24, 36)), F.concat(word, F.lit(" ")), " ", 1),
+        (F.initcap(long_word), F.concat(word, F.lit(" ")), " ", 0),
+        (camel, F.concat(pick(68, "the ", "call ", "token: ", "see ", "auth = ", "class "), F.lit("")), "", 0),
+        (compound, F.concat(word, F.lit(" ")), " ", 0),
+        (short_word, F.concat(pick(69, "password ", "token ", "secret ", "Password: ", "auth: ", "credential ", "token="), F.lit("")), " ", 0),
+        (F.substr(long_word, F.lit(1), pick(70, 8, 9, 11, 14)), F.concat(pick(71, "password ", "token ", "secret ", "Password: ", "auth: "), F.lit("")), " ", 0),
+        (code, asked, "", 0),
     ]
     kind = F.col("id") % len(kinds)
     choose = lambda part: F.coalesce(*(F.when(kind == k, v[part] if isinstance(v[part], Column) else F.lit(v[part])) for k, v in enumerate(kinds)))
@@ -116,12 +146,17 @@ def train(findings: DataFrame) -> PipelineModel:
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """Every candidate of every text: doc_id, word (index from 0), part (index within the word), candidate, before, after, path."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(path) if path in docs.columns else F.lit(None)).cast("string").alias("path"))
-    words = rows.where(F.col("text").rlike(CANDIDATE)).withColumn("words", F.split("text", SPACE)).drop("text")
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE))
+    words = rows.where(F.col("text").rlike(TOKEN) | F.col("text").rlike(rf"(?i:{ASKS})[^A-Za-z0-9]")).withColumn("words", F.split("text", SPACE)).drop("text")
+    ends = lambda one, two: F.coalesce(F.right(one, F.lit(64)).rlike(ASKED) | (~one.rlike("[A-Za-z0-9]") & F.right(two, F.lit(64)).rlike(ASKED)), F.lit(False))
+    at_word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    wanted = lambda i: at_word(i).rlike(TOKEN) | at_word(i).rlike(ASSIGNS) | ((F.length(at_word(i)) >= 8) & ends(at_word(i - 1), at_word(i - 2)))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), wanted)
     found = words.withColumn("word", F.explode(at))
-    near = lambda k: F.coalesce(F.get("words", F.col("word") + k), F.lit(""))
-    found = found.select("doc_id", "path", "word", F.get("words", F.col("word")).alias("text"), F.concat_ws(" ", F.right(near(-3), F.lit(64)), F.right(near(-2), F.lit(64)), F.right(near(-1), F.lit(64))).alias("left"))
-    found = found.select("doc_id", "path", "word", "text", "left", F.posexplode(F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).alias("part", "candidate"))
+    near = lambda k: at_word(F.col("word") + k)
+    found = found.select("doc_id", "path", "word", F.get("words", F.col("word")).alias("text"), ends(near(-1), near(-2)).alias("asked"), F.concat_ws(" ", F.right(near(-3), F.lit(64)), F.right(near(-2), F.lit(64)), F.right(near(-1), F.lit(64))).alias("left"))
+    # a value whose word follows the word that asks for it is read as if it were assigned
+    read = F.when(F.col("asked") & ~F.col("text").rlike(ASSIGNS), F.concat(F.lit("token="), "text")).otherwise(F.col("text"))
+    found = found.select("doc_id", "path", "word", "text", "left", F.posexplode(F.regexp_extract_all(read, F.lit(CANDIDATE), 0)).alias("part", "candidate"))
     place = F.instr("text", F.col("candidate"))
     return found.select(
         "doc_id", "word", "part", "candidate", "path",
