@@ -18,7 +18,10 @@ A decoded span is added if it passes its kind's check and touches no base span.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -337,21 +340,45 @@ def find(texts: list[str], network: Network | None) -> list[tuple[list[Span], li
 
 
 def windows(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of windows around the base spans and other digits of texts."""
-    rng, codes, tags = np.random.default_rng(seed), [], []
-    for text in texts:
+    """Codes and tags of at most ``most`` windows around the base spans and other digits of texts.
+
+    Each kind of span and the other digits get even shares of the windows; what one can't fill goes
+    to the rest. Of a share every text gives one window before any gives a second, by a hash.
+    """
+    drawn: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(KINDS) + 1)]  # round, hash, text, position
+    spans_of = []
+    for k, text in enumerate(texts):
         spans = base_spans(text)
-        for m in re.finditer(r"[0-9@]\S*", text):
-            if len(codes) >= most:
-                break
-            start = max(0, m.start() - int(rng.integers(8, WINDOW - 16)))
-            part = text[start : start + WINDOW]
-            row, tag = np.zeros(WINDOW, dtype=np.int64), np.zeros(WINDOW, dtype=np.int64)
-            row[: len(part)], tag[: len(part)] = encode(part), _tags(len(part), spans, start)
-            codes.append(row)
-            tags.append(tag)
-    shape = (len(codes), WINDOW)
-    return np.array(codes, dtype=np.int64).reshape(shape), np.array(tags, dtype=np.int64).reshape(shape)
+        spans_of.append((by_start := sorted(spans, key=lambda s: s[1]), [s for _, s, _ in by_start], [e for *_, e in by_start]))
+        own = zlib.crc32(text.encode("utf-8", "surrogatepass"), seed)
+        key = lambda at: (zlib.crc32(at.to_bytes(8, "little"), own), at)  # noqa: B023, E731
+        inside = [(s, e) for _, s, e in by_start]
+        for kind, rows in enumerate(drawn):
+            places = (s for c, s, _ in spans if c == kind) if kind < len(KINDS) else _outside(text, inside)
+            rows += [(n, h, k, at) for n, (h, at) in enumerate(heapq.nsmallest(most, map(key, places)))]
+            if len(rows) > 4 * most:
+                rows[:] = heapq.nsmallest(most, rows)
+    left, chosen = most, []
+    for n, rows in enumerate(sorted(drawn, key=len)):
+        chosen += heapq.nsmallest(left // (len(drawn) - n), rows)
+        left = most - len(chosen)
+    codes, tags = np.zeros((len(chosen), WINDOW), dtype=np.int64), np.zeros((len(chosen), WINDOW), dtype=np.int64)
+    for n, (_, h, k, at) in enumerate(chosen):
+        start = max(0, at - 8 - h % (WINDOW - 24))
+        part = texts[k][start : start + WINDOW]
+        spans, starts, ends = spans_of[k]
+        codes[n, : len(part)], tags[n, : len(part)] = encode(part), _tags(len(part), spans[bisect_right(ends, start) : bisect_left(starts, start + WINDOW)], start)
+    return codes, tags
+
+
+def _outside(text: str, spans: list[tuple[int, int]]) -> Iterator[int]:
+    """Where words go on from a digit or @ that is in none of the spans, which are in order."""
+    n = 0
+    for m in re.finditer(r"[0-9@]\S*", text):
+        while n < len(spans) and spans[n][1] <= m.start():
+            n += 1
+        if n == len(spans) or m.start() < spans[n][0]:
+            yield m.start()
 
 
 def _only_begun(tags: np.ndarray) -> np.ndarray:
@@ -366,7 +393,7 @@ def _only_begun(tags: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Network | None:
-    """A network from at most TRAIN_ROWS documents with a digit or @, chosen by a hash of doc_id; none without labelled spans."""
+    """A network from at most TRAIN_ROWS documents with a digit or @, chosen by a hash of doc_id; none only if no such document holds a base span."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     some = rows.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.length("text").alias("chars"))
     picked, held = [], 0

@@ -93,6 +93,25 @@ def test_base_spans_stay_and_added_ones_pass_their_check(network):
             assert P._valid(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in base)
 
 
+def test_windows_are_drawn_from_all_texts_and_kinds():
+    """A long text of numbers, and one with spans of one kind only, leave room for the others."""
+    numbers, mails = "12 345 6 " * 20000, "a@b.com " * 5000
+    few = [f"text {'x' * k} from 10.0.0.{k} or +1 (202) 555-01{k:02}" for k in range(10, 40)]
+    codes, tags = P.windows([numbers, mails, *few])
+    assert len(codes) == P.TRAIN_WINDOWS
+    seen = {kind: sum(1 + 2 * kind in row for row in tags.tolist()) for kind in range(len(P.KINDS))}
+    assert seen[0] >= 100 and seen[1] >= 30 and seen[3] >= 30 and (tags == 0).all(axis=1).sum() >= 100
+    assert not P.windows([numbers])[1].any() and P.windows([])[0].shape == (0, P.WINDOW)
+    many = P.windows([f"{'abcdefghij'[k % 10]} number {k} here " * 3 for k in range(400)], most=400)[0]
+    assert len({row.tobytes() for row in many}) > 30
+
+
+def test_numbers_first_do_not_stop_the_network(spark):
+    rows = [(1, "12 345 6 " * 20000)] + [(k, f"write to user{k}@mail.com or 10.0.0.{k}") for k in range(2, 30)]
+    assert P.train(spark.createDataFrame(rows, "doc_id long, text string")) is not None
+    assert P.train(spark.createDataFrame(rows[:1], "doc_id long, text string")) is None
+
+
 def test_viterbi_against_all_paths(network):
     net, _ = network
     e = np.random.default_rng(4).standard_normal((4, P.TAGS))
