@@ -87,16 +87,15 @@ def found_terms(batches: DataFrame, glossary: DataFrame, most: int = 5000) -> Da
     """JOIN-05: (columns of batches, term): terms that a batch's content holds, whatever the case, markup included.
 
     A glossary of up to ``most`` terms is broadcast; its size is checked, a larger one is matched
-    by the first three characters of its terms instead.
+    by the first three characters of its terms instead, shorter terms by all they have.
     """
     terms = glossary.select("term").where("term <> ''").distinct()
-    holds = F.contains(F.lower("content"), F.lower("term"))
+    low, holds = F.lower("content"), F.contains(F.lower("content"), F.lower("term"))
     if terms.limit(most + 1).count() <= most:
         return batches.join(F.broadcast(terms), holds)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("content") - 2, F.lit(1))), lambda i: F.substr(F.lower("content"), i, F.lit(3)))
-    keyed = batches.withColumn("_gram", F.explode(F.array_distinct(grams)))
-    long_ = keyed.join(terms.where("length(term) >= 3").withColumn("_gram", F.substr(F.lower("term"), F.lit(1), F.lit(3))), "_gram").where(holds).drop("_gram")
-    return long_.unionByName(batches.join(F.broadcast(terms.where("length(term) < 3").limit(most)), holds))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    keyed = batches.withColumn("_gram", F.explode(F.array_distinct(F.concat(*map(cut, (1, 2, 3))))))
+    return keyed.join(terms.withColumn("_gram", F.substr(F.lower("term"), F.lit(1), F.lit(3))), "_gram").where(holds).drop("_gram")
 
 
 def glossary_map(pairs: DataFrame) -> Column:

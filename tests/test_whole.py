@@ -4,7 +4,7 @@ import pytest
 
 import papyrion.queries  # noqa: F401
 from papyrion import registry
-from papyrion.operators import tables
+from papyrion.operators import glossary, tables
 
 
 @pytest.fixture
@@ -72,3 +72,13 @@ def test_periphery_by_rules(run):
     ]
     found = {r.doc: r.n for r in run("periphery_blocks_all", documents=(docs, "doc_id long, text string"))}
     assert found == {1: 2, 2: 4}
+
+
+def test_large_glossary_finds_all_short_terms(spark):
+    """More terms than are broadcast, most of one or two characters: none is left out."""
+    terms = [*"abcdefg一二", "ab", "一二", "Zz", "abc", "long term", "q", ""]
+    batches = [(1, "xABc 一二"), (2, "g"), (3, "a long TERM zz"), (4, ""), (5, None), (6, "二")]
+    rows = spark.createDataFrame(batches, "id long, content string")
+    found = glossary.found_terms(rows, spark.createDataFrame([(t,) for t in [*terms, "a"]], "term string"), most=3)
+    assert found.columns == ["id", "content", "term"]
+    assert sorted((r.id, r.term) for r in found.collect()) == sorted((i, t) for i, c in batches for t in terms if c and t and t.lower() in c.lower())
