@@ -4,7 +4,8 @@ A test item of n characters (normalised: lower case, words separated by one spac
 a document with up to ``floor(rate * n)`` character edits. Split into one piece more than that
 budget, at least one piece of any such appearance is untouched. All pieces of all items stand in
 one Aho-Corasick automaton that runs over each whole text; around every piece hit, Myers'
-bit-parallel algorithm finds the least edit distance of the whole item to a passage.
+bit-parallel algorithm finds the least edit distance of the whole item to a passage. Short items
+are one piece without a budget, which must stand between word borders.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits for each character of an item; items with fewer normalised characters than MIN_CHARS take no part.
+#: Edits for each character of an item; items with fewer normalised characters than MIN_CHARS have none, and appear as whole words only.
 RATE, MIN_CHARS = 0.05, 24
 #: Normalised characters of the items that are matched in one pass over the documents.
 BLOCK_CHARS = 4_000_000
@@ -74,7 +75,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(rate * len(t))) for i, t in items]
+        self.items = [(i, t, int(rate * len(t)) if len(t) >= MIN_CHARS else 0) for i, t in items]
         self.patterns: dict[int, Pattern] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text, budget) in enumerate(self.items):
@@ -90,10 +91,15 @@ class Index:
         begins: dict[int, set[int]] = defaultdict(set)
         for end, (size, owners) in self.automaton.iter(text):
             for k, a in owners:
-                begins[k].add(end + 1 - size - a)
+                s = end + 1 - size - a
+                if len(self.items[k][1]) >= MIN_CHARS or ((s == 0 or text[s - 1] == " ") and text[end + 1 : end + 2] in ("", " ")):
+                    begins[k].add(s)
         out = []
         for k, starts in begins.items():
             item, pattern, budget = self.items[k]
+            if len(pattern) < MIN_CHARS:
+                out.append((item, 0, 0, min(starts) + len(pattern)))
+                continue
             if k not in self.patterns:
                 self.patterns[k] = Pattern(pattern)
             best, upto = None, None
@@ -142,7 +148,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     held = 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").toLocalIterator():
         text = normalise(row[1])
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and held + len(text) > BLOCK_CHARS:
             yield block
@@ -158,7 +164,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
     One row for each pair of a document row and an item: the least distance and the end of the first such
     passage, in characters of the normalised text. Null texts hold nothing; items that are null,
-    have a null id or fewer than MIN_CHARS characters take no part; items that are equal are
+    have a null id or hold no word take no part, those with fewer than MIN_CHARS characters match as
+    whole words without edits; items that are equal are
     reported each; repeated rows of ``docs`` come out each. Empty tables give an empty result.
     """
     spark = docs.sparkSession

@@ -76,6 +76,15 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {tuple(r) for r in D.matches(d, b).collect()} == whole
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "Yes, it is!"), (2, "cat"), (3, "?!"), (4, "a longer item that has its own edit budget")]
+    docs = [(1, "so yes it   IS."), (2, "the category of yes it isnt"), (3, "Cat"), (4, "concat, a cat; cat"), (5, "?!"), (6, "yes it s"), (7, "a longer itm that has its own edit budget cat")]
+    d = spark.createDataFrame([(i, t, 0, "") for i, t in docs], SCHEMA)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in D.matches(d, b).collect()} == {(1, 1, 0, 0, 12), (3, 2, 0, 0, 3), (4, 2, 0, 0, 12), (7, 2, 0, 0, 45), (7, 4, 1, 2, 41)}
+    assert sorted(r.doc_id for r in D.remove_contaminated(d, b).collect()) == [2, 5, 6]
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "text", 0, "")], SCHEMA)
