@@ -16,7 +16,8 @@ symbols        the compressed sequence
 The end id takes part in no rule, so a document starts and ends on symbol borders and
 ``decode_document`` expands one document alone. Re-Pair runs in rounds: each counts all
 neighbouring pairs of the shard exactly, replaces the most frequent ones (left to right,
-without overlaps) by new nonterminals and goes on until no pair is frequent enough.
+without overlaps) by new nonterminals. It ends when no pair occurs MIN_COUNT times, or when the
+symbol width has no number left (2^16 symbols, base ids included, where these fit 16 bits).
 
 Payloads travel as rows of a Parquet table: Spark's commit protocol makes a written shard
 whole or absent when an executor is lost, on any file system that Spark can write.
@@ -42,8 +43,8 @@ HEADER = struct.Struct("<4sIIIIIQ")
 END_ID = 0
 #: Ids of a shard before it is closed; a longer document makes a longer shard.
 SHARD_IDS = 1 << 20
-#: A pair that occurs less often gets no rule; rounds of replacement; new rules a round.
-MIN_COUNT, ROUNDS, RULES_A_ROUND = 12, 4, 6000
+#: A pair that occurs less often gets no rule; new rules a round.
+MIN_COUNT, RULES_A_ROUND = 12, 6000
 #: Cached pieces of text with their ids, for each Python worker: those learned first stay, later ones take turns.
 CACHE_ENTRIES, PASSING_ENTRIES = 800_000, 100_000
 #: Texts that are encoded together.
@@ -181,9 +182,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), dtype=np.uint32)
     width = 2 if base < 1 << 16 else 4
     limit = (1 << 16 if width == 2 else 1 << 31) - base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= limit:
-            break
+    while len(seq) >= 2 and len(rules) < limit:
         keys = _pairs(seq, width)
         chosen = np.sort(_frequent(seq, keys, limit - len(rules), MIN_COUNT))
         if not len(chosen):

@@ -81,3 +81,12 @@ def test_many_shards_and_order(spark, sf, monkeypatch):
 
 def test_empty_table(spark):
     assert T.token_output(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_rounds_go_on_until_no_pair_is_frequent():
+    """A long passage that repeats becomes few symbols, not one for 16 ids each."""
+    passage = np.arange(1, 257)
+    ids = np.concatenate([np.append(passage, T.END_ID)] * 300)
+    seq, rules = T.compress(ids, 1000)
+    assert (T.expand(seq, rules, 1000) == ids).all()
+    assert len(seq) == 600 and len(T._frequent(seq, T._pairs(seq, 2), 10, T.MIN_COUNT)) == 0
