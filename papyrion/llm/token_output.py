@@ -25,13 +25,17 @@ whole or absent when an executor is lost, on any file system that Spark can writ
 
 from __future__ import annotations
 
+import functools
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,92 +47,226 @@ HEADER = struct.Struct("<4sIIIIIQ")
 END_ID = 0
 #: Ids of a shard before it is closed; a longer document makes a longer shard.
 SHARD_IDS = 1 << 20
-#: A pair that occurs less often gets no rule; new rules a round.
+#: A pair that occurs less often gets no rule; new rules a round (fewer than 2^15).
 MIN_COUNT, RULES_A_ROUND = 12, 6000
-#: Cached pieces of text with their ids, for each Python worker: those learned first stay, later ones take turns.
-CACHE_ENTRIES, PASSING_ENTRIES = 800_000, 100_000
-#: Texts that are encoded together.
-ENCODED = 2048
+#: Bytes of known pieces with their ids that a Python worker keeps; of an entry beside its contents.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 24
+#: Bytes of texts that are cut and looked up together; texts taken from Arrow at once; pieces encoded in one call.
+TOGETHER, ENCODED, PIECES = 6 << 20, 2048, 16384
 
 
 # ---------------------------------------------------------------- encoding
 
-
-class _NotSplit(Exception):
-    """A text whose white space does not allow encoding between single spaces."""
+#: What a tokenizer's file has to say for its texts to be cut into pieces here; others encode whole texts.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_OTHER, _LETTER, _NUMBER, _SPACE, _ODD = range(5)
+#: Endings that the byte-level pattern cuts off after an apostrophe.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Code points that the table of classes covers; texts with others are encoded whole.
+_COVERED = 0x20000
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Class of each code point: letter, number, white space, other; odd where versions of Unicode may differ."""
+    out = np.full(_COVERED, _OTHER, dtype=np.uint8)
+    old = unicodedata.ucd_3_2_0
+    for code in range(_COVERED):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] in "LN":
+            out[code] = (_LETTER if kind[0] == "L" else _NUMBER) if old.category(c)[0] == kind[0] else _ODD
+        elif kind in ("Cn", "Cs"):
+            out[code] = _ODD
+    out[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
+    out[[0x1C, 0x1D, 0x1E, 0x1F, 0x180E]] = _ODD
+    return out
+
+
+def piece_starts(codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Marks the characters that begin a piece of the byte-level pattern.
+
+    ``codes`` are the code points of several texts, one after the other; ``text_starts`` marks
+    where each begins. A piece is a run of letters, of numbers or of other characters, with one
+    space before it; of a longer run of white space all but the last character is a piece.
+    """
+    kind = _classes()[codes]
+    space, before = kind == _SPACE, np.concatenate(([_OTHER], kind[:-1]))
+    text_ends = np.concatenate((text_starts[1:], [True]))
+    run = text_starts | (before != kind)
+    followed = np.concatenate((~space[1:], [False])) & ~text_ends
+    after_blank = np.concatenate(([False], codes[:-1] == 0x20)) & ~text_starts
+    starts = np.where(space, run | followed, run & ~after_blank)
+    marks = np.flatnonzero((codes == 0x27) & starts)
+    if len(marks):  # endings like 's are pieces of their own
+        around = np.concatenate((codes, [0, 0]))
+        stop = np.concatenate((text_starts, [True, True]))
+        one, two = around[marks + 1], around[np.minimum(marks + 2, len(codes) + 1)]
+        has_one = ~stop[marks + 1]
+        has_two = has_one & ~stop[np.minimum(marks + 2, len(codes) + 1)]
+        size = np.zeros(len(marks), dtype=np.int64)
+        for ending in _ENDINGS:
+            fits = has_one & (one == ord(ending[0])) if len(ending) == 1 else has_two & (one == ord(ending[0])) & (two == ord(ending[1]))
+            size[(size == 0) & fits] = len(ending)
+        marks, size = marks[size > 0], size[size > 0]
+        starts[marks + 1] = False
+        after = marks + 1 + size
+        inside = after < len(codes)
+        starts[after[inside]] |= ~space[after[inside]]
+    return starts
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, each distinct piece between spaces encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct piece of many texts encoded once.
 
-    A byte-level BPE never joins across a space that follows a character other than white
-    space, so the pieces of ``text.split(" ")`` (each with its space) have the ids that they have
-    in the whole text. Texts with pieces that are empty or only white space are encoded whole.
+    A byte-level BPE cuts a text by a fixed pattern before it merges, so a piece has the ids that it
+    has in the whole text. Many texts are cut at once, the distinct pieces of all of them are
+    looked up or encoded, and the ids are put together again. Texts with special tokens or with
+    characters of which versions of Unicode differ are encoded whole, and so are all texts of
+    another kind of tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.base = max(vocab.values()) + 1
-        mark = self._ids("\0")
-        alone = sum("Ā" in token for token in vocab) == 1  # the byte-level letter of U+0000
-        self.mark = mark[0] if len(mark) == 1 and alone else None
-        self.cache: dict[str, bytes] = {}
-        self.passing: list[str] = []
-        self.first: dict[str, bytes] = {}  # pieces that begin a text have no space
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) >= CACHE_ENTRIES:
-            self.passing += pieces
-        odd = [p for p in pieces if "\0" in p] if self.mark is not None else pieces
-        for p in odd:
-            self.cache[p] = np.asarray(self._ids(f" {p}"), dtype="<u4").tobytes()
-        plain = [p for p in pieces if "\0" not in p] if self.mark is not None else []
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            joined = self.tokenizer.encode_batch_fast([" " + "\0 ".join(part)], add_special_tokens=False)[0].ids
-            ids = np.asarray(joined, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends, strict=True):
-                self.cache[piece] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.passing) > PASSING_ENTRIES:
-            for piece in self.passing:
-                self.cache.pop(piece, None)
-            self.passing.clear()
-        if len(self.first) > PASSING_ENTRIES:
-            self.first.clear()
-        split = [t.split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.cache)
-        self._learn([p for p in fresh if p and not p.isspace()])
-        out, get = [], self.cache.__getitem__
-        for text, pieces in zip(texts, split, strict=True):
-            head = pieces[0]
-            if head not in self.first:
-                self.first[head] = np.asarray(self._ids(head), dtype="<u4").tobytes()
-            try:
-                out.append(b"".join([self.first[head], *map(get, pieces[1:])]))
-            except KeyError:
-                out.append(np.asarray(self._ids(text), dtype="<u4").tobytes())
-        return out
-
-
-_encoders: dict[str, TextEncoder] = {}
-
-
+        self.base = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # known pieces, their ids one after the other, how many each has and when it was used last
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.counts, self.used, self.turn = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        said = json.loads(cut.__getstate__()) if cut is not None else {}
+        options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix")
+        plain = isinstance(model, models.BPE) and all(getattr(model, o) in (None, "") for o in options)
+        self.pieces = None
+        if plain and self.tokenizer.normalizer is None and self.tokenizer.truncation is None and _BYTE_LEVEL.items() <= said.items():
+            # the letters that stand for bytes: printable ones for themselves, the others from U+0100 on
+            own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+            rest = [b for b in range(256) if b not in own]
+            self.letters = np.arange(256, dtype="<u4")
+            self.letters[rest] = 0x100 + np.arange(len(rest))
+            parting = chr(self.letters[0])  # of U+0000, which parts the pieces that are encoded together
+            self.mark = self.tokenizer.token_to_id(parting)
+            if self.mark is not None and sum(parting in token for token in self.tokenizer.get_vocab()) == 1:
+                self.pieces = Tokenizer(model)
+                self.pieces.pre_tokenizer = pre_tokenizers.Split(parting, "isolated")
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after the other, and how many each has; many pieces go in one call."""
+        flat, counts = [], []
+        for at in range(0, len(pieces), PIECES):
+            part = pieces.slice(at, PIECES)
+            joined = b"\0".join(part.to_pylist())
+            if joined.count(b"\0") >= len(part):  # U+0000 inside of a piece
+                ids = [self._whole(p.decode()) for p in part.to_pylist()]
+                flat += ids
+                counts.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+                continue
+            letters = self.letters[np.frombuffer(joined, dtype=np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.asarray(self.pieces.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+            marks = ids == self.mark
+            counts.append(np.diff(np.concatenate(([-1], np.flatnonzero(marks), [len(ids)]))) - 1)
+            flat.append(ids[~marks])
+        return np.concatenate([*flat, np.zeros(0, "<u4")]), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after the other, first, how many): of distinct pieces, known ones or new."""
+        self.turn += 1
+        at = pc.index_in(pieces, value_set=self.known)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        fresh = pieces.filter(pa.array(missing))
+        flat, counts = self._encode_pieces(fresh)
+        at[missing] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.ids, self.counts = np.concatenate((self.ids, flat)), np.concatenate((self.counts, counts))
+        self.used = np.concatenate((self.used, np.zeros(len(fresh), dtype=np.int64)))
+        self.used[at] = self.turn
+        ids, first, counts = self.ids, (np.cumsum(self.counts) - self.counts)[at], self.counts[at]
+        self._forget()
+        return ids, first, counts
+
+    def _forget(self) -> None:
+        """Beyond CACHE_BYTES, the pieces used last stay, up to half of it."""
+        sizes = pc.binary_length(self.known).to_numpy().astype(np.int64) + 4 * self.counts + ENTRY_BYTES
+        if int(sizes.sum()) <= CACHE_BYTES:
+            return
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.sort(order[np.cumsum(sizes[order]) <= CACHE_BYTES // 2])
+        counts = self.counts[keep]
+        first, ends = (np.cumsum(self.counts) - self.counts)[keep], np.cumsum(counts)
+        self.ids = self.ids[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.known, self.counts, self.used = self.known.take(pa.array(keep)), counts, self.used[keep]
+
+    def _together(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts that have none of what is encoded whole."""
+        data = b"".join(raw)
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        begins = np.cumsum(sizes) - sizes
+        codes = np.frombuffer(data.decode().encode("utf-32-le"), dtype="<u4")
+        octets = np.frombuffer(data, dtype=np.uint8)
+        chars = np.flatnonzero((octets & 0xC0) != 0x80) if len(codes) < len(octets) else None
+        text_starts = np.zeros(len(codes), dtype=bool)
+        filled = begins[sizes > 0]
+        text_starts[filled if chars is None else np.searchsorted(chars, filled)] = True
+        at = np.flatnonzero(piece_starts(codes, text_starts))
+        del codes, text_starts
+        at = at if chars is None else chars[at]
+        offsets = pa.py_buffer(np.append(at, len(octets)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        ids, first, counts = self._look_up(coded.dictionary)
+        which = coded.indices.to_numpy()
+        counts = counts[which]
+        ends = np.cumsum(counts)
+        flat = ids[np.repeat(first[which] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        # ids before each text: those of the pieces that begin before it
+        before = np.concatenate(([0], ends))[np.searchsorted(at, begins)]
+        return np.split(flat, before[1:])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, little-endian uint32; texts are cut and looked up together up to TOGETHER bytes."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        held: list[int] = []
+        raw: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, raw, size
+            if raw:
+                for k, ids in zip(held, self._together(raw), strict=True):
+                    out[k] = ids
+            held, raw, size = [], [], 0
+
+        for k, text in enumerate(texts):
+            data = text.encode()
+            if self.pieces is None or any(s in data for s in self.special) or _odd(text):
+                out[k] = self._whole(text)
+                continue
+            held.append(k)
+            raw.append(data)
+            size += len(data)
+            if size >= TOGETHER:
+                flush()
+        flush()
+        return out  # type: ignore[return-value]
+
+
+def _odd(text: str) -> bool:
+    """Whether versions of Unicode may differ on a character of the text."""
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    return bool((codes >= _COVERED).any() or (_classes()[codes] == _ODD).any())
+
+
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> TextEncoder:
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    """A worker keeps one tokenizer, with CACHE_BYTES of known pieces at most."""
+    return TextEncoder(path)
 
 
 # ---------------------------------------------------------------- grammar
@@ -155,26 +293,46 @@ def _frequent(seq: np.ndarray, keys: np.ndarray, room: int, floor: int) -> np.nd
     return found[order]
 
 
-def _replace(seq: np.ndarray, keys: np.ndarray, chosen: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """The sequence with the chosen pairs (sorted keys) replaced."""
-    maybe = np.zeros(1 << 20, dtype=bool)  # most pairs are ruled out by a table of hashed keys
-    hashed = lambda k: ((k * k.dtype.type(2654435761)) >> k.dtype.type(8)) & k.dtype.type((1 << 20) - 1)
-    maybe[hashed(chosen)] = True
-    at = np.flatnonzero(maybe[hashed(keys)])
-    where = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-    hit = chosen[where] == keys[at]
-    at, where = at[hit], where[hit]
-    if not len(at):
-        return seq
-    begins = np.concatenate(([True], np.diff(at) != 1))  # of overlapping hits every second one counts
-    run = np.flatnonzero(begins)
-    taken = (np.arange(len(at)) - run[np.cumsum(begins) - 1]) % 2 == 0
-    at, where = at[taken], where[taken]
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A number below 2^20 for each key."""
+    kind = keys.dtype.type
+    return ((keys * kind(2654435761)) >> kind(8)) & kind((1 << 20) - 1)
+
+
+def _settled(at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs found at ascending positions are replaced: of overlapping ones the most frequent."""
+    near = np.diff(at) == 1
+    begins = np.concatenate(([True], ~(near & (rank[1:] == rank[:-1]))))  # of one pair, every second counts
+    odd = (np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 1
+    at, rank = at[~odd], rank[~odd]
+    done = [(at[:0], rank[:0])]
+    while len(at):
+        near, none = np.diff(at) == 1, np.array([False])
+        before, after = np.concatenate((none, near)), np.concatenate((near, none))
+        alone = ~before & ~after
+        best = (~before | (rank < np.roll(rank, 1))) & (~after | (rank < np.roll(rank, -1)))
+        lost = (before & np.roll(best, 1)) | (after & np.roll(best, -1))
+        done.append((at[alone], rank[alone]))
+        at, rank = at[~alone & ~lost], rank[~alone & ~lost]
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))  # type: ignore[return-value]
+
+
+def _replace(seq: np.ndarray, keys: np.ndarray, chosen: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence with the chosen pairs (most frequent first) replaced, and those that were, in the order of their symbols."""
+    table, slots = np.full(1 << 20, -1, dtype=np.int16), _slots(chosen)
+    table[slots[::-1]] = np.arange(len(chosen) - 1, -1, -1)  # of two pairs in one slot the rarer waits for the next round
+    chosen = chosen[table[slots] == np.arange(len(chosen))]
+    table[_slots(chosen)] = np.arange(len(chosen))
+    rank = table[_slots(keys)]
+    at = np.flatnonzero(rank >= 0)
+    rank = rank[at]
+    hit = chosen[rank] == keys[at]
+    at, rank = _settled(at[hit], rank[hit])
     seq = seq.copy()
-    seq[at] = new[where]
+    seq[at] = base + rank.astype(np.uint32)
     keep = np.ones(len(seq), dtype=bool)
     keep[at + 1] = False
-    return seq[keep]
+    return seq[keep], chosen
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +342,12 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     limit = (1 << 16 if width == 2 else 1 << 31) - base
     while len(seq) >= 2 and len(rules) < limit:
         keys = _pairs(seq, width)
-        chosen = np.sort(_frequent(seq, keys, limit - len(rules), MIN_COUNT))
+        chosen = _frequent(seq, keys, limit - len(rules), MIN_COUNT)
         if not len(chosen):
             break
+        seq, chosen = _replace(seq, keys, chosen, base + len(rules))
         shift = chosen.dtype.type(32 if width == 4 else 16)
-        pairs = np.stack((chosen >> shift, chosen & chosen.dtype.type((1 << int(shift)) - 1)), axis=1).astype(np.uint32)
-        new = (base + len(rules) + np.arange(len(chosen))).astype(np.uint32)
-        seq = _replace(seq, keys, chosen, new)
-        rules = np.concatenate((rules, pairs))
+        rules = np.concatenate((rules, np.stack((chosen >> shift, chosen & chosen.dtype.type((1 << int(shift)) - 1)), axis=1).astype(np.uint32)))
     return seq, rules
 
 
@@ -305,10 +461,10 @@ def _write_shards(path: str):
             for at in range(0, batch.num_rows, ENCODED):
                 some = batch.slice(at, ENCODED)
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, raw in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
                     docs.append(doc)
-                    parts.append(raw + end)
-                    held += len(raw) // 4 + 1
+                    parts.append(ids.tobytes() + end)
+                    held += len(ids) + 1
                     if held >= SHARD_IDS:
                         yield close()
         if docs:
@@ -333,14 +489,17 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_token_shards(docs: DataFrame, tokenizer_path: str, target: str | None = None) -> str:
     """Encode ``docs`` (doc_id, text) and write the shards; returns the table's path.
 
-    Null texts count as empty (the end id alone); null doc_ids come first; repeated rows are
-    written each; other columns are not read. An empty table gives an empty shard table.
+    Null texts count as empty (the end id alone); null doc_ids come first; rows of one doc_id are
+    in order of their texts' hashes, repeated rows are written each; other columns, of any name, are not
+    read. A very long text makes a long shard. An empty table gives an empty shard table. The table
+    stays until the caller removes it.
     """
     spark = docs.sparkSession
     target = target or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # range partitioning keeps the global order; rows of one doc_id stay together, in order of text
-    ordered = ordered.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # range partitioning keeps the global order; hash and row spread the rows of an id that repeats, null included
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_write_shards(tokenizer_path), "part int, number int, before long, n_ids long, payload binary").write.mode("overwrite").parquet(target)
     return target
 
