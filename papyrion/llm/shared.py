@@ -38,6 +38,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sampled(rows: DataFrame, most_rows: int, most_chars: int) -> list:
+    """Distinct rows of ``rows`` (a ``text`` column among them), at most ``most_rows`` and ``most_chars`` characters of text together.
+
+    Rows are chosen and ordered by a hash of all their columns, so copies of a row count once and
+    a value that repeats in very many rows brings no more than these bounds. Only hashes and lengths are shuffled.
+    """
+    keyed = rows.withColumn("_sample_key", F.xxhash64(*rows.columns))
+    sizes = keyed.groupBy("_sample_key").agg(F.max(F.length("text")).alias("chars"))
+    keys, held = [], 0
+    for key, chars in sizes.orderBy("_sample_key").limit(most_rows).collect():
+        if held + chars <= most_chars:
+            keys.append((key,))
+            held += chars
+    if not keys:
+        return []
+    chosen = rows.sparkSession.createDataFrame(keys, "_sample_key long")
+    some = keyed.join(F.broadcast(chosen), "_sample_key", "left_semi").dropDuplicates(["_sample_key"])
+    return [row for _, row in sorted((r["_sample_key"], r) for r in some.select("_sample_key", *rows.columns).toLocalIterator())]
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks for an explicit repartition: what the cluster has set for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -55,6 +55,9 @@ def test_gradient():
         assert abs((up - down) / (2 * e) - float(g[name][at])) < 1e-3
 
 
+WORDS = "the our house was seen over there by many people who came from far away and stayed for dinner".split()
+
+
 @pytest.fixture(scope="module")
 def network():
     rng = random.Random(2)
@@ -65,11 +68,8 @@ def network():
         return next(body + d for d in "0123456789" if luhn(body + d))
 
     kinds = (lambda: f"{word()}@{word()}.com", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), card, lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", lambda: f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}")
-    texts = [" ".join([word(), word(), rng.choice(kinds)(), word(), rng.choice(kinds)(), word()]) for _ in range(500)]
-    codes, tags = P.windows(texts)
-    net = P.Network.fresh()
-    net.learn(codes, P._only_begun(tags))
-    return net, texts
+    texts = [" ".join([*rng.sample(WORDS, 5), rng.choice(kinds)(), rng.choice(WORDS), rng.choice(kinds)(), rng.choice(WORDS)]) for _ in range(500)]
+    return P.trained(texts), texts
 
 
 def test_network_learns_the_spans(network):
@@ -84,13 +84,62 @@ def test_network_learns_the_spans(network):
     assert hit / total > 0.85
 
 
+def missed_by_the_patterns(rng):
+    """(kind, span) in forms that no pattern takes; written without the generator that teaches."""
+    n = lambda k: "".join(str(rng.randint(0, 9)) for _ in range(k))
+    who, host = rng.choice(["maria", "j.smith", "peter_k", "sales", "Anna", "office77"]), rng.choice(["acme", "posteo", "weather", "bank", "lab"])
+    body = rng.choice("45") + n(14)
+    body += next(d for d in "0123456789" if luhn(body + d))
+    forms = [
+        (0, f"{who}@{rng.choice(['exämple', 'müller', 'café', 'smørrebrød'])}.{rng.choice(['com', 'de', 'org'])}"), (0, f"{who} [at] {host} [dot] org"), (0, f"{who}(at){host}.de"), (0, f"{who} (at) {host}.com"),
+        (1, f"2001:db8:{rng.randint(4096, 65535):x}::{rng.randint(4096, 65535):x}:8329"), (1, f"{rng.randint(11, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}[.]{rng.randint(0, 255)}"), (1, f"10[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}"),
+        (2, ".".join(body[k : k + 4] for k in range(0, 16, 4))), (2, "/".join(body[k : k + 4] for k in range(0, 16, 4))),
+        (3, f"({n(3)}) 555-{n(4)}"), (3, f"00{rng.choice(['44 20', '49 30', '33 14'])} {n(4)} {n(4)}"), (3, f"{rng.randint(2, 9)}{n(2)}-{n(3)}-{n(4)}"), (3, f"{rng.randint(2, 9)}{n(2)}.{n(3)}.{n(4)}"), (3, f"0{rng.randint(30, 89)}/{n(7)}"),
+    ]
+    return rng.choice(forms)
+
+
+NONE_AT_ALL = ["born 2024-05-12 at 10:30:15", "version 3.11.4 was out", "order 1234567 shipped", "costs 1,249.50 a year", "between 1990-2005 it rose", "see page 12, 14, 18", "see @nobody there", "item #48213 is new", "sha 9f86d081884c7d65 ok", "at 51.5074, 0.1278 north", "isbn 978-3-16-148410-0 here", "ratio 16:9 or 4:3"]
+
+
+def test_recall_on_forms_that_the_patterns_miss(network):
+    """Without the network none of these is found; the forms' values and surroundings were never taught."""
+    net, _ = network
+    rng = random.Random(11)
+    hits, total, false = [0] * 4, [0] * 4, 0
+    for _ in range(400):
+        kind, value = missed_by_the_patterns(rng)
+        cue = rng.choice([["write to", "email", "contact"], ["host", "address", "from"], ["card", "paid with"], ["call", "phone", "dial"]][kind])
+        text = f"{' '.join(rng.sample(WORDS, 4))} {cue} {value} {' '.join(rng.sample(WORDS, 4))}"
+        at = text.index(value)
+        (base, spans), (_, alone) = P.find([text], net)[0], P.find([text], None)[0]
+        assert base == [] == alone
+        total[kind] += 1
+        hits[kind] += (kind, at, at + len(value)) in spans
+        false += sum(s != (kind, at, at + len(value)) for s in spans)
+    assert sum(hits) / sum(total) >= 0.9 and all(h / t >= 0.8 for h, t in zip(hits, total, strict=True))
+    assert false / (false + sum(hits)) <= 0.1
+    clean = [f"{' '.join(rng.sample(WORDS, 4))} {text} {' '.join(rng.sample(WORDS, 4))}" for text in NONE_AT_ALL for _ in range(10)]
+    assert sum(bool(spans) for _, spans in P.find(clean, net)) / len(clean) <= 0.1
+
+
+def test_long_regions_are_read_in_stretches(network, monkeypatch):
+    net, texts = network
+    rng = np.random.default_rng(1)
+    regions = [P.encode(t) for t in texts[:20]] + [rng.integers(1, P.CLASSES, 3000).astype(np.int8), np.zeros(0, np.int8)]
+    whole = net.decode(regions)
+    monkeypatch.setattr(P, "SCORED", 256)
+    assert all((a == b).all() for a, b in zip(whole, net.decode(regions), strict=True))
+    assert [len(t) for t in whole] == [len(r) for r in regions]
+
+
 def test_base_spans_stay_and_added_ones_pass_their_check(network):
     net, texts = network
     swallowed = "pay 4539148803436467 27 or 4539148803436467 now"
     for (base, spans), text in zip(P.find([*texts[:60], swallowed, ""], net), [*texts[:60], swallowed, ""], strict=True):
         assert base == plain_spans(text) and set(base) <= set(spans)
         for kind, a, b in set(spans) - set(base):
-            assert P._valid(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in base)
+            assert P._plausible(kind, text[a:b]) and all(b <= x or a >= y for _, x, y in base)
 
 
 def test_windows_are_drawn_from_all_texts_and_kinds():
@@ -106,12 +155,6 @@ def test_windows_are_drawn_from_all_texts_and_kinds():
     assert len({row.tobytes() for row in many}) > 30
 
 
-def test_numbers_first_do_not_stop_the_network(spark):
-    rows = [(1, "12 345 6 " * 20000)] + [(k, f"write to user{k}@mail.com or 10.0.0.{k}") for k in range(2, 30)]
-    assert P.train(spark.createDataFrame(rows, "doc_id long, text string")) is not None
-    assert P.train(spark.createDataFrame(rows[:1], "doc_id long, text string")) is None
-
-
 def test_viterbi_against_all_paths(network):
     net, _ = network
     e = np.random.default_rng(4).standard_normal((4, P.TAGS))
@@ -120,10 +163,11 @@ def test_viterbi_against_all_paths(network):
 
     score = lambda p: sum(e[k, t] for k, t in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p)) + (P.FORBIDDEN[0, p[0]] if P.FORBIDDEN[:, p[0]].min() < 0 else 0)
     best = max(itertools.product(range(P.TAGS), repeat=4), key=score)
-    assert tuple(net.viterbi(e).tolist()) == best
+    assert tuple(net._best([e])[0].tolist()) == best
 
 
-def test_table_edges(spark):
+def test_table_edges(spark, network, monkeypatch):
+    monkeypatch.setattr(P, "trained", lambda texts: network[0])
     rows = [(1, "a@b.com and 10.0.0.1"), (2, None), (3, ""), (3, ""), (None, "+1 (202) 555-0100"), (4, "x " * 60000 + "4111 1111 1111 1111")]
     df = spark.createDataFrame([(i, t, 5, "s") for i, t in rows], "doc_id long, text string, n_email int, spans string")
     out = {(r.doc_id, r.base_sha256): r for r in P.personal_data(df).collect()}
@@ -132,7 +176,6 @@ def test_table_edges(spark):
         r = out[(i, hashlib.sha256(base.encode()).hexdigest())]
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
         assert r.n_email + r.n_ip + r.n_card + r.n_phone == len([s for s in r.spans.split(",") if s])
-    assert P.personal_data(df).count() == len(rows)
     assert P.personal_data(spark.createDataFrame([], df.schema)).count() == 0
 
 
