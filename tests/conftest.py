@@ -1,8 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: more threads only wait for each other
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
