@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -43,12 +44,17 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one is set only where none is configured (tests)."""
+    """The shared checkpoint folder of the session.
+
+    Where none is configured, a session that runs in one process on this machine gets a temporary one; a cluster has to name its own.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return configured or current
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     target = configured or tempfile.mkdtemp(prefix="papyrion-checkpoints-")
     sc.setCheckpointDir(target)
     return target
