@@ -9,30 +9,45 @@ from papyrion.llm.queries import ORACLES, QUERIES
 
 
 def plain_topk(rows, k=20, every=20):
-    vectors = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in {i: v for i, v in vectors if i % every == 0}.items():
-        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in vectors if i != q)
-        out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)}
-    return out
+    vectors = [(n, i, [int(np.floor(64 * float(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for m, q, a in vectors:
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, i, b in vectors if n != m)
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 def test_topk_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(k, [float(x) for x in rng.standard_normal(40).astype(np.float32)]) for k in range(900)]
+    rows = [(k, [float(x) for x in rng.standard_normal(40).astype(np.float32) * (1 + k % 5)]) for k in range(900)]
     rows += [(1000 + k, rows[20][1]) for k in range(60)]  # a vector that repeats, ties
+    rows += [(40, rows[40][1])] * 30 + [(60, rows[3][1]), (60, rows[4][1])]  # queries that repeat, with one text and with others
     rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")]), (2003, [float("inf")]), (None, [1.0]), (2020, []), (2004, [0.5] * 3), (2040, [0.0] * 40)]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int")
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int, row int, cb int")
     expected = plain_topk(rows)
-    for cands, queries in ((8192, 2048), (100, 7)):
+    for cands, queries in ((8192, 2048), (100, 17)):
         monkeypatch.setattr(topk, "CANDIDATES", cands)
         monkeypatch.setattr(topk, "QUERIES", queries)
-        assert {tuple(r) for r in topk.top_k(df).collect()} == expected
+        assert sorted(tuple(r) for r in topk.top_k(df).collect()) == expected
+
+
+def test_topk_own_copies_do_not_prune_others():
+    """Copies of a query fill the bound; the others that are due come out all the same."""
+    rng = np.random.default_rng(3)
+    query = rng.integers(-60, 60, 64)
+    cands = np.concatenate((np.tile(query, (8, 1)), rng.integers(-60, 60, (200, 64))))
+    for bound in (None, np.array([-np.inf])):
+        _, ids, scores = topk.best_of_block(query[None, :], np.array([0]), cands, np.array([7] * 8 + list(range(100, 300))), np.arange(208), 5, bound)
+        assert ids.tolist() == [7] * 5 and scores.tolist() == [int(query @ query)] * 5
+    plain = np.sort(cands[8:] @ query)[::-1][:5]
+    _, _, scores = topk.best_of_block(np.tile(query, (1, 1)), np.array([8]), cands[8:], np.arange(200), np.arange(1000, 1200), 5, np.array([float(plain[4])]))
+    assert scores.tolist() == plain.tolist()
 
 
 def test_topk_large_components():
     q, c = np.array([[2**31, -(2**31)]]), np.array([[2**31 - 1, 5], [1, 1], [-(2**31), 2**20]])
-    ids, found, score = topk.best_of_block(q, np.array([7]), c, np.array([1, 2, 3]), 2)
+    ids, found, score = topk.best_of_block(q, np.array([7]), c, np.array([1, 2, 3]), np.array([1, 2, 3]), 2)
     assert list(zip(found.tolist(), score.tolist(), strict=True)) == [(1, 2**31 * (2**31 - 1) - 5 * 2**31), (2, 0)]
 
 
