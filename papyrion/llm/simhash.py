@@ -5,7 +5,8 @@ Fingerprints that differ in at most two bits are linked. The index has these lev
 1. *Top nodes* share a masked bit pattern. The three masks cut the 64 bits into blocks, so two
    fingerprints within distance two agree on at least one whole block and meet below a top
    node. A top node with many fingerprints gives way to nodes that fix a block of the remaining
-   bits as well, by the same argument; so hot nodes are spread over tasks and no pair is lost.
+   bits as well, by the same argument, until none has many (after a few levels too few bits are
+   left); so hot nodes are spread over tasks and no pair is lost.
 2. *Inner nodes*: below a top node, fingerprints stand in Gray order (neighbours share most
    bits). Runs of neighbours are factored into nodes that hold the mask of the bits on which
    all below agree, and their pattern; runs of such nodes again, up to one node.
@@ -34,10 +35,8 @@ from papyrion.llm.shared import partitions, settle
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
-#: (first bit, bits) of the blocks that the masks of top nodes fix.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Fingerprints below a top node before a block of its remaining bits is fixed too.
-HOT_NODE = 2048
+#: Fingerprints below a top node before a block of its remaining bits is fixed too; with FEW bits open it can't have more.
+HOT_NODE, FEW = 2048, 11
 LEAF, FAN = 8, 8
 #: Node pairs expanded, shingles hashed and fingerprints indexed at once.
 FRONTIER, CHUNK, INDEXED = 1 << 19, 1 << 16, 1 << 18
@@ -73,6 +72,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _named_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of = next(_fingerprints(iter([batch.select(["doc_id", "text"])])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *of.columns], names=["h1", "h2", "doc_id", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): the fingerprint's bits as a signed long. A null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -159,7 +164,7 @@ def search(fp: np.ndarray, group: np.ndarray, distance: int = DISTANCE) -> np.nd
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node 1, pattern 1, node 2, pattern 2, fp) in order of top node and Gray rank -> links (a, b)."""
+    """Rows (mask, pattern, fp) in order of top node and Gray rank -> links (a, b)."""
 
     def linked(keys: list[np.ndarray], fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         change = np.zeros(len(fp), dtype=bool)
@@ -183,19 +188,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         last = np.ones(rows, dtype=bool)  # the last top node may go on in the next batch
-        for k in columns[:4]:
+        for k in columns[:2]:
             last &= k == k[-1]
         cut = int(np.argmax(last))
         if cut:
-            yield from linked([c[:cut] for c in columns[:4]], columns[4][:cut].view(np.uint64))
+            yield from linked([c[:cut] for c in columns[:2]], columns[2][:cut].view(np.uint64))
         held, rows = [[c[cut:] for c in columns]], rows - cut
     if rows:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        yield from linked(columns[:4], columns[4].view(np.uint64))
+        yield from linked(columns[:2], columns[2].view(np.uint64))
+
 
+def _deeper(mask: int) -> list[int]:
+    """Masks that fix a block of the open bits of ``mask`` as well: one of the three is equal for fingerprints that differ in two bits."""
+    rest = [bit for bit in range(64) if not mask >> bit & 1]
+    cuts = [k * len(rest) // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    return [mask | sum(1 << bit for bit in rest[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
-def _block(fp, first: int, bits: int):
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+def _long(mask: int):
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
 def _gray_rank(fp):
@@ -207,25 +219,23 @@ def _gray_rank(fp):
 def links(distinct: DataFrame) -> DataFrame:
     """Links between distinct fingerprints (fp long): (a, b), mixed names of ``mix64``, a forest for each top node."""
     spark = distinct.sparkSession
-    fp = F.col("fp")
-    tops = F.array(*(F.struct(F.lit(k).alias("n1"), _block(fp, *b).alias("p1")) for k, b in enumerate(BLOCKS)))
-    nodes = distinct.select("fp", F.inline(tops))
-    hot = nodes.groupBy("n1", "p1").count().where(F.col("count") > HOT_NODE).select("n1", "p1", F.lit(True).alias("hot"))
-
-    def below(k: int):
-        """Blocks of the bits that mask k leaves open: in three parts, so that one is equal again."""
-        rest = [(first + cut, bits) for n, (first, width) in enumerate(BLOCKS) if n != k for cut, bits in ((0, width // 2), (width // 2, width - width // 2))]
-        parts = [[rest[0]], [rest[1], rest[2]], [rest[3]]]
-        code = lambda p: sum((_block(fp, *b) * F.lit(1 << (32 * n)) for n, b in enumerate(p)), F.lit(0).cast("long"))
-        return F.array(*(F.struct(F.lit(n).alias("n2"), code(p).alias("p2")) for n, p in enumerate(parts)))
-
-    whole = F.array(F.struct(F.lit(-1).alias("n2"), F.lit(0).cast("long").alias("p2")))
-    split = F.when(F.col("n1") == 0, below(0)).when(F.col("n1") == 1, below(1)).otherwise(below(2))
-    nodes = nodes.join(hot, ["n1", "p1"], "left").select("n1", "p1", F.inline(F.when(F.col("hot"), split).otherwise(whole)), "fp")
-    dealt = nodes.repartition(partitions(spark), "n1", "p1", "n2", "p2")
+    fp, node = F.col("fp"), ["mask", "pattern"]
+    masks = _deeper(0)
+    below = lambda rows, choice: rows.select("fp", F.explode(choice).alias("mask")).withColumn("pattern", fp.bitwiseAND(F.col("mask")))
+    nodes, small = below(distinct, F.array(*map(_long, masks))), None
+    while True:
+        hot = settle(nodes.groupBy(*node).count().where((F.col("count") > HOT_NODE) & (F.bit_count("mask") < 64 - FEW)).select(*node))
+        if hot.isEmpty():
+            break
+        cold = nodes.join(hot, node, "left_anti")
+        small = cold if small is None else small.unionByName(cold)
+        choice = F.coalesce(*(F.when(F.col("mask") == _long(m), F.array(*map(_long, _deeper(m)))) for m in masks))
+        nodes = settle(below(nodes.join(hot, node, "left_semi"), choice).distinct())  # two ways may lead to one node
+        masks = sorted({deep for m in masks for deep in _deeper(m)})
+    nodes = nodes if small is None else small.unionByName(nodes)
+    dealt = nodes.repartition(partitions(spark), *node)
     ordered = dealt.withColumn("gray", _gray_rank(fp)).withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    ordered = ordered.sortWithinPartitions("n1", "p1", "n2", "p2", "gray").select("n1", "p1", "n2", "p2", "fp")
-    return ordered.mapInArrow(_links, "a long, b long")
+    return ordered.sortWithinPartitions(*node, "gray").select(*node, "fp").mapInArrow(_links, "a long, b long")
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are not read. Null texts count as empty and
     documents without words have fingerprint zero, linked like any other. Repeated rows come
     out each. A null doc_id is kept and never is a component_id unless a component has no other.
-    An empty table gives an empty result.
+    Very long texts are hashed in stretches. An empty table gives an empty result.
     """
     prints = settle(fingerprints(docs))
     classes = _classes(prints).drop("root")
@@ -257,22 +267,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: the smallest doc_id of each component stays.
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of its rows with that doc_id one stays. Different texts under one doc_id are judged each, by
-    their own component; rows with a null doc_id stay all.
+    A row is named by two hashes of all its columns, so rows that share a doc_id, and those with a
+    null one, are judged each by their own text. Null doc_ids come after all others; of several rows
+    with the smallest doc_id that with the smallest hash stays, of equal rows one. Null and empty texts
+    are near-duplicates of each other. Columns of any name pass; an empty table gives an empty one.
     """
-    prints = settle(fingerprints(docs))
-    classes = _classes(prints)
-    judged = prints.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    keepers = settle(judged.where("first = 1").select("doc_id", "rows"))
-    single = docs.join(keepers.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    kept = single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    several = keepers.where("rows > 1").select("doc_id")
-    if several.isEmpty():
-        return kept
-    copies = settle(docs.join(several, "doc_id", "left_semi").select(*docs.columns).withColumn("_row", F.monotonically_increasing_id()))
-    marked = fingerprints(copies.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-    own = copies.select("_row", F.col("doc_id").cast("long")).join(marked, "_row").join(classes, "fp").where("doc_id = component_id")
-    own = own.groupBy("doc_id", "root").agg(F.min("_row").alias("_row")).select("_row")
-    return kept.unionByName(copies.join(own, "_row", "left_semi").select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(F.xxhash64(row).alias("h1"), F.xxhash64(F.lit(1), row).alias("h2"), row.alias("doc"))
+    prints = settle(named.select("h1", "h2", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")).mapInArrow(_named_fingerprints, "h1 long, h2 long, doc_id long, fp long"))
+    classes = _classes(prints.select("doc_id", "fp")).select("fp", "root")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")
+    first = prints.join(classes, "fp").groupBy("root").agg(F.min(rank).alias("first")).select("first.h1", "first.h2")
+    several = prints.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2", F.lit(True).alias("several"))
+    first = settle(first.join(several, ["h1", "h2"], "left"))
+    key = ["h1", "h2"]
+    kept = named.join(first.where("several is null").select(*key), key, "left_semi")
+    repeated = first.where("several").select(*key)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, key, "left_semi").groupBy(*key).agg(F.first("doc").alias("doc")))
+    return kept.select("doc.*")
