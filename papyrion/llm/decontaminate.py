@@ -10,6 +10,8 @@ are one piece without a budget, which must stand between word borders.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import settle
+
+SCHEMA = "doc_id long, item_id long, distance int, budget int, passage_end int"
 #: Edits for each character of an item; items with fewer normalised characters than MIN_CHARS have none, and appear as whole words only.
 RATE, MIN_CHARS = 0.05, 24
 #: Normalised characters of the items that are matched in one pass over the documents.
@@ -120,15 +125,14 @@ class Index:
         return out
 
 
-_indexes: dict[tuple, Index] = {}
+@functools.lru_cache(maxsize=1)
+def _kept(items: tuple[tuple[int, str], ...], rate: float) -> Index:
+    return Index(list(items), rate)
 
 
 def _index(items: list[tuple[int, str]], rate: float) -> Index:
-    key = (rate, len(items), hash(tuple(items)))
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(items, rate)
-    return _indexes[key]
+    """The index of one block, which a worker keeps until it meets another."""
+    return _kept(tuple(map(tuple, items)), rate)
 
 
 def _scan(shared, rate: float):
@@ -166,23 +170,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     passage, in characters of the normalised text. Null texts hold nothing; items that are null,
     have a null id or hold no word take no part, those with fewer than MIN_CHARS characters match as
     whole words without edits; items that are equal are
-    reported each; repeated rows of ``docs`` come out each. Empty tables give an empty result.
+    reported each; repeated rows of ``docs`` come out each; very long texts are read whole; other
+    columns are not read. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, distance int, budget int, passage_end int"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters, or one item
-        out = out.unionByName(texts.mapInArrow(_scan(shared, rate), schema))
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], SCHEMA)
+    if second is None:  # at most BLOCK_CHARS characters, or one item
+        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(first), rate), SCHEMA)
+    out = None
+    for block in itertools.chain([first, second], blocks):  # one block at a time is out
+        shared = spark.sparkContext.broadcast(block)
+        found = settle(texts.mapInArrow(_scan(shared, rate), SCHEMA))
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
+def _clean(shared, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(shared.value, rate)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            keep = [not index.scan(normalise(text or "")) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no match; rows with a null doc_id are judged by their text."""
-    hits = matches(docs.where("doc_id is not null"), benchmark, rate).select("doc_id").distinct()
-    kept = docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
-    unnamed = docs.where("doc_id is null")
-    keys = matches(unnamed.withColumn("doc_id", F.xxhash64("text")), benchmark, rate).select(F.col("doc_id").alias("_key")).distinct()
-    unnamed = unnamed.withColumn("_key", F.xxhash64("text")).join(keys, "_key", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").unionByName(unnamed)
+    """The rows of ``docs`` whose text holds no item.
+
+    Every row is judged by its own text, whatever its doc_id: null and repeated ids and columns of
+    any name change nothing. Null and empty texts stay; very long ones are read whole; equal rows
+    share a fate. Without items all rows stay; an empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(_clean(spark.sparkContext.broadcast(first), rate), docs.schema)
+    for block in itertools.chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        docs = settle(docs.mapInArrow(_clean(shared, rate), docs.schema))
+        shared.destroy()
+    return docs
