@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import sampled
+
 #: Labelled and unlabelled documents that are fetched for training, and the characters they may have together.
 LABELLED, UNLABELLED, SAMPLE_CHARS = 4000, 2000, 30_000_000
 ROUNDS, EXCHANGED, SURE = 4, 150, 0.95
 HASHED = 1 << 11
 THRESHOLD = 0.5
+VIEWED = ("text", "source", "lang", "n_chars")
 _MARKS = re.compile(r"[^\w\s.,;:'’-]")
 
 
@@ -59,7 +62,7 @@ def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         marks / chars * 10, upper / max(len(kinds), 1), (low != text) * 1.0, lines / max(n, 1) * 10, (n < 5) * 1.0,
         sum(w.isdigit() for w in kinds) / max(len(kinds), 1), n / chars * 5,
     ])
-    slots = {zlib.crc32(w.lower().encode()) % HASHED for w in kinds if len(w) < 40}
+    slots = {zlib.crc32(w.lower().encode()) % HASHED for w in kinds}
     return shape, np.fromiter(slots, dtype=np.int64, count=len(slots))
 
 
@@ -201,25 +204,17 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Judge:
-    """Co-train on LABELLED labelled and UNLABELLED other documents (SAMPLE_CHARS characters together at most), chosen by a hash of doc_id."""
-    rows = _columns(docs).where("doc_id is not null and text is not null")
+    """Co-train on at most LABELLED labelled and UNLABELLED other distinct rows, chosen by a hash; nulls are seen as they are scored.
+
+    Labelled texts get two thirds of SAMPLE_CHARS, the others one.
+    """
+    rows = _columns(docs).where("text is not null")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    sizes = rows.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("chars")]
-    teach = sizes.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(*order).limit(LABELLED).collect()
-    other = sizes.where(F.col("quality").isNull()).orderBy(*order).limit(UNLABELLED).collect()
-    picked, held = {}, 0
-    for r in (*teach, *other):
-        if held + r.chars <= SAMPLE_CHARS:
-            picked[r.doc_id] = r.quality
-            held += r.chars
-    if not picked:
-        return cotrain([], [])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
-    fetched = sorted((r.doc_id, r.text, r.source, r.lang, r.n_chars) for r in rows.join(F.broadcast(ids), "doc_id", "left_semi").na.fill("", ["source", "lang"]).na.fill(0, ["n_chars"]).toLocalIterator())
-    fetched.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    labelled = [(*r[1:], int(picked[r[0]] > 0)) for r in fetched if picked[r[0]] is not None]
-    return cotrain(labelled, [r[1:] for r in fetched if picked[r[0]] is None])
+    taught = rows.join(known.where(~held_out(F.col("doc_id"))), "doc_id")
+    teach = sampled(taught.select("doc_id", *VIEWED, "quality"), LABELLED, SAMPLE_CHARS * 2 // 3)
+    other = sampled(rows.join(known, "doc_id", "left_anti").select("doc_id", *VIEWED), UNLABELLED, SAMPLE_CHARS // 3)
+    view = lambda r: tuple(r[c] for c in VIEWED)
+    return cotrain([(*view(r), int(r["quality"] > 0)) for r in teach], [view(r) for r in other])
 
 
 def _scores(shared):
@@ -237,7 +232,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, text_score, meta_score, score, predicted (1: good).
 
     ``docs`` needs doc_id and text; source, lang and n_chars are used where they are there, and
-    may be null. Null texts count as empty. Repeated rows and null ids come out each. Labels with
+    may be null; other columns are not read. Null texts count as empty, very long ones are read whole.
+    Repeated rows and null ids come out each. Labels with
     a null doc_id or quality are left out; of several the largest holds. Without labels every
     score is 0.5. Empty tables give an empty result.
     """

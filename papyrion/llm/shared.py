@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that separate words: space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from papyrion.runtime import ensure_checkpoint_dir, settle
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one is set only where none is configured (tests)."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return configured or current
-    target = configured or tempfile.mkdtemp(prefix="papyrion-checkpoints-")
-    sc.setCheckpointDir(target)
-    return target
+__all__ = ["WORD", "ensure_checkpoint_dir", "partitions", "sampled", "settle", "table", "word_count"]
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows go to the shared checkpoint folder once and are read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Code points that separate words: space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import sampled
+
 #: Labelled documents that may be used for learning, and the characters they may have together.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 30_000_000
 THRESHOLD = 0.3
@@ -43,6 +45,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ο": "o", "ι": "i", "ρ": "p", "ν": "v", "ı": "i", "ℓ": "l"}
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "l": "i"}
 
+BLANKS = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
 _WORD = re.compile(r"[^\W_]+")
 _FOREIGN = re.compile("[^\0-\u024f]")
 _TABLE: dict[int, str | int] = {ord(a): b for a, b in (*HOMOGLYPHS.items(), *SUBSTITUTIONS.items())}
@@ -60,7 +63,9 @@ def fold(text: str) -> str:
         low = low.translate(_TABLE)
     for written, meant in SUBSTITUTIONS.items():
         low = low.replace(written, meant)
-    return low.replace("\n", " ").replace("\t", " ")
+    for blank in BLANKS:
+        low = low.replace(blank, " ")
+    return low
 
 
 def words(folded: str) -> set[str]:
@@ -106,8 +111,16 @@ class Lexicon:
                 lifted.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        if lifted:
-            best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in lifted)}
+        if lifted:  # both in order of start, each read once
+            free, until, k = {}, -1, 0
+            lifted.sort()
+            for s in sorted(best):
+                while k < len(lifted) and lifted[k][0] <= s:
+                    until = max(until, lifted[k][1])
+                    k += 1
+                if s > until:
+                    free[s] = best[s]
+            best = free
         return sum(best.values()), len(folded)
 
     def score(self, text: str | None) -> float:
@@ -184,29 +197,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learn from at most TRAIN_ROWS labelled documents and TRAIN_CHARS characters, chosen by a hash of doc_id.
+    """Learn from at most TRAIN_ROWS distinct labelled texts of TRAIN_CHARS characters together, chosen by a hash.
 
     Labels with a null doc_id or label are left out; of several labels of a document the largest holds.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = texts.select("doc_id", F.length("text").alias("chars")).join(chosen, "doc_id")  # labels may cover more than docs
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("chars")]
-    picked = sizes.orderBy(*order).limit(TRAIN_ROWS).collect()
-    ids, held = {}, 0
-    for doc, chars, toxic in picked:
-        if held + chars <= TRAIN_CHARS:
-            ids[doc] = toxic
-            held += chars
-    if not ids:
-        return learn([])
-    rows = texts.where(F.col("doc_id").isin(list(ids))) if len(ids) < 100 else texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
-    texts_of = sorted((r[0], r[1]) for r in rows.toLocalIterator())
-    return learn([(t, int(ids[d] > 0)) for d, t in texts_of])
-
-
-_lexicons: dict[int, Lexicon] = {}
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = sampled(texts.join(chosen, "doc_id").select("doc_id", "text", "toxic"), TRAIN_ROWS, TRAIN_CHARS)
+    return learn([(r["text"], int(r["toxic"] > 0)) for r in rows])
 
 
 def _scores(shared):
@@ -223,7 +222,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from THRESHOLD on).
 
     Texts are the only input of a score; null and empty texts get the score of a text without
-    entries. Repeated rows come out each, null doc_ids too. Without labels the seed words decide.
+    entries. Very long texts are read whole. Repeated rows come out each, null doc_ids too. Without
+    labels the seed words decide. Other columns are not read. An empty table gives an empty result.
     """
     lexicon = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES entries and the seeds
@@ -243,6 +243,10 @@ def _clean(shared):
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``score`` does not predict as toxic."""
+    """The rows of ``docs`` that ``score`` does not predict as toxic, each judged by its own text.
+
+    Null and empty texts stay; very long ones are read whole; equal rows share a fate; null doc_ids
+    and columns of any name pass; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.mapInArrow(_clean(shared), docs.schema)

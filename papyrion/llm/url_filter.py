@@ -59,7 +59,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     read. Pages that no rule fits get ``default``. The longest rule is that with the most
     characters of host and path; between rules of equal length the longer host goes first. Of
     equal rules the larger verdict holds (block before allow). Rules with nulls are left out.
-    Repeated pages and null ids come out each. Empty tables: no pages, or only defaults.
+    Repeated pages and null ids come out each; very long urls are read whole. Empty tables: no
+    pages, or only defaults.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url").cast("string"))
@@ -88,4 +89,5 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
 
 def fixed_rules(spark) -> DataFrame:
-    return spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rows = ", ".join("('" + "', '".join(rule) + "')" for rule in RULES)
+    return spark.sql(f"select * from values {rows} as rules(host, path, verdict)")

@@ -1,6 +1,6 @@
 import corpus_pipeline
-from papyrion.llm import decontaminate, toxicity
-from papyrion.llm.queries import QUERIES
+from papyrion.llm import decontaminate, mixing, simhash, token_output, toxicity
+from papyrion.llm.queries import QUERIES, tokenizer_path
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_simhash import brute as components_of
 
@@ -31,6 +31,32 @@ def test_stages(spark, sf, tmp_path):
     assert tokens.count() == mix.count()
 
 
+CLASHING = ("_doc", "_key", "_copy", "row", "range", "h1", "fp", "copies", "first", "doc", "size", "hash", "_sample_key")
+
+
+def test_stages_judge_every_row_by_itself(spark):
+    """Null and shared ids, equal rows and columns with names that the stages use."""
+    one, two, three = (f"{w} walked over the hill and saw {w} there while the {w} was green and blue" for w in ("apple", "river", "stone"))
+    item = "what is the capital of the country that lies north of the great river"
+    rows = [(5, one), (5, two), (3, one), (None, one), (None, three), (None, "four other words here"), (1, f"so {item} then"), (1, "nothing of the kind is in this one"), (2, None), (2, ""), (7, "x " * 30000), (8, "same row twice is fine"), (8, "same row twice is fine")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *CLASHING) for i, t in rows], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    clean, unique, safe, mix = toxicity.remove_toxic(docs, labels), simhash.keep_first(docs), decontaminate.remove_contaminated(docs, items), mixing.apply_mix(docs)
+    assert all(out.columns == docs.columns and [r[c] for c in CLASHING] == list(CLASHING) for out in (clean, unique, safe, mix) for r in out.limit(3).collect())
+    assert texts(clean) == sorted(rows, key=str)
+    kept = texts(unique)
+    assert {(3, one), (5, two), (None, three), (None, "four other words here"), (1, rows[6][1]), (1, rows[7][1]), (7, rows[10][1]), (8, rows[11][1])} < set(kept) and len(kept) == 9
+    assert texts(safe) == sorted((r for r in rows if r != rows[6]), key=str)
+    words = sum(len(t.split()) for _, t in texts(mix))
+    assert {t for _, t in texts(mix)} <= {t for _, t in rows if t} and words <= sum(len((t or "").split()) for _, t in rows)
+    small = docs.where("length(text) < 1000")
+    assert texts(mixing.apply_mix(small)) == texts(small.where("text <> ''"))  # one source takes itself once
+    assert token_output.token_output(docs, tokenizer_path()).count() == len(rows)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
