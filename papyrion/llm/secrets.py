@@ -8,8 +8,9 @@ and hold other characters. A document without either is dropped by regular expre
 words are looked at.
 
 *Features* of a candidate are its length, how often the class of characters changes, its
-variety, shares of digits, capitals, hexadecimal digits and other characters, how much of it dictionary parts
-cover, words of its path, and the words around it.
+variety, shares of digits, capitals, hexadecimal digits and other characters, how much of it words
+of a dictionary cover, words of its path, and the words around it. The *dictionary* holds the words
+that most documents of the corpus have (all documents are counted) and parts of readable tokens.
 
 The forest learns from *labelled findings* (candidate, before, after, path, label). By default
 these are drawn from generators of the usual kinds of secrets and of what looks like them
@@ -19,6 +20,8 @@ given instead.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,6 +32,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Labelled findings that are drawn where none are given; trees and depth of the forest.
 DRAWN, TREES, DEPTH, SEED = 4000, 24, 7, 42
+#: Words of the dictionary at most, and documents that have to have one.
+DICTIONARY, LEAST_DOCUMENTS = 4096, 3
+#: Runs of letters in a candidate as words are written together: aB is a word end, as is a change to other characters.
+RUNS = "[A-Z]?[a-z]+|[A-Z]+(?![a-z])"
+#: Marks around candidates; neither is ever part of one.
+OPEN, CLOSE = "\x01", "\x02"
 
 #: Words that come before secrets, words that come before other things, and parts of readable tokens.
 ASKS = "pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|apikey|access_?key|private_?key|auth|credential|bearer|client_?secret"
@@ -54,18 +63,29 @@ def _share(text: Column, pattern: str, of: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(of), F.lit(1))
 
 
-def featured(findings: DataFrame) -> DataFrame:
-    """Adds FEATURES to rows with candidate, before, after, path."""
+def dictionary(docs: DataFrame) -> list[str]:
+    """The words of 3 letters on that most documents have, DICTIONARY at most; counted over all documents."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z]{3,}"), 0))).alias("word"))
+    most = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    return [r["word"] for r in most.orderBy(F.col("n").desc(), "word").limit(DICTIONARY).collect()]
+
+
+def featured(findings: DataFrame, words: Sequence[str] = ()) -> DataFrame:
+    """Adds FEATURES to rows with candidate, before, after, path; ``words`` is the dictionary."""
     c, low = F.col("candidate"), F.lower("candidate")
+    runs = F.transform(F.regexp_extract_all(c, F.lit(RUNS), 0), F.lower)
+    known = F.expr(f"filter(_runs, x -> x in ({', '.join(repr(w) for w in sorted({*words, 'example'}))}))")
+    in_words = F.aggregate("_known", F.lit(0), lambda n, w: n + F.length(w))
+    in_parts = F.length(c) - F.length(F.regexp_replace(low, f"(?:{PARTS})", ""))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     columns = {
-        "size": F.least(F.length(c), F.lit(128)).cast("double"),
+        "size": F.log2(F.length(c) + 1),
         "changes": _share(c, r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])", c),
-        "variety": F.size(F.array_distinct(F.split(F.substring(c, 1, 128), ""))) / F.greatest(F.least(F.length(c), F.lit(128)), F.lit(1)),
+        "variety": F.size(F.filter(F.array(*(F.lit(chr(k)) for k in range(0x21, 0x7F))), lambda x: F.contains(c, x))) / F.greatest(F.least(F.length(c), F.lit(94)), F.lit(1)),
         "digits": _share(c, "[0-9]", c),
         "capitals": _share(c, "[A-Z]", c),
         "hexadecimal": _share(c, "[0-9a-f]", c),
-        "covered": 1 - F.length(F.regexp_replace(low, f"(?:{PARTS})", "")) / F.greatest(F.length(c), F.lit(1)),
+        "covered": F.greatest(in_words, in_parts) / F.greatest(F.length(c), F.lit(1)),
         "issued": flag(c.rlike(f"^(?:{ISSUED})")),
         "asked": flag(F.col("before").rlike(ASKED)),
         "told": flag(F.col("before").rlike(rf"(?i)(?:^|[^A-Za-z])(?:{TELLS})[^A-Za-z0-9]*$")),
@@ -76,7 +96,8 @@ def featured(findings: DataFrame) -> DataFrame:
         "vowels": _share(low, "[aeiou]", c),
         "marks": _share(c, r"[^A-Za-z0-9_+/\-=]", c),
     }
-    return findings.withColumns({k: v.cast("double") for k, v in columns.items()})
+    found = findings.withColumn("_runs", runs).withColumn("_known", known)
+    return found.withColumns({k: v.cast("double") for k, v in columns.items()}).drop("_runs", "_known")
 
 
 def drawn_findings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
@@ -135,9 +156,9 @@ def drawn_findings(spark: SparkSession, n: int = DRAWN) -> DataFrame:
     return rows.select(choose(0).alias("candidate"), before.alias("before"), after.alias("after"), pick(23, "src/main", "config", "web", "tests/fixtures", "docs").alias("path"), choose(3).cast("double").alias("label"))
 
 
-def train(findings: DataFrame) -> PipelineModel:
-    """A forest over labelled findings; rows with nulls in candidate or label are left out."""
-    rows = featured(findings.where("candidate is not null and label is not null")).fillna("", ["before", "after", "path"])
+def train(findings: DataFrame, words: Sequence[str] = ()) -> PipelineModel:
+    """A forest over labelled findings, with ``words`` as dictionary; rows with nulls in candidate or label are left out."""
+    rows = featured(findings.where("candidate is not null and label is not null"), words).fillna("", ["before", "after", "path"])
     parts = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5)]
     assembled = parts[0].transform(rows).select("features", "label")
     return PipelineModel([parts[0], parts[1].fit(assembled)])
@@ -147,21 +168,26 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """Every candidate of every text: doc_id, word (index from 0), part (index within the word), candidate, before, after, path."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(path) if path in docs.columns else F.lit(None)).cast("string").alias("path"))
     words = rows.where(F.col("text").rlike(TOKEN) | F.col("text").rlike(rf"(?i:{ASKS})[^A-Za-z0-9]")).withColumn("words", F.split("text", SPACE)).drop("text")
-    ends = lambda one, two: F.coalesce(F.right(one, F.lit(64)).rlike(ASKED) | (~one.rlike("[A-Za-z0-9]") & F.right(two, F.lit(64)).rlike(ASKED)), F.lit(False))
+    ends = lambda one, two: F.coalesce(one.rlike(ASKED) | (~one.rlike("[A-Za-z0-9]") & two.rlike(ASKED)), F.lit(False))
     at_word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     wanted = lambda i: at_word(i).rlike(TOKEN) | at_word(i).rlike(ASSIGNS) | ((F.length(at_word(i)) >= 8) & ends(at_word(i - 1), at_word(i - 2)))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), wanted)
     found = words.withColumn("word", F.explode(at))
     near = lambda k: at_word(F.col("word") + k)
-    found = found.select("doc_id", "path", "word", F.get("words", F.col("word")).alias("text"), ends(near(-1), near(-2)).alias("asked"), F.concat_ws(" ", F.right(near(-3), F.lit(64)), F.right(near(-2), F.lit(64)), F.right(near(-1), F.lit(64))).alias("left"))
+    found = found.select("doc_id", "path", "word", F.get("words", F.col("word")).alias("text"), ends(near(-1), near(-2)).alias("asked"), F.concat_ws(" ", near(-3), near(-2), near(-1)).alias("left"))
     # a value whose word follows the word that asks for it is read as if it were assigned
-    read = F.when(F.col("asked") & ~F.col("text").rlike(ASSIGNS), F.concat(F.lit("token="), "text")).otherwise(F.col("text"))
-    found = found.select("doc_id", "path", "word", "text", "left", F.posexplode(F.regexp_extract_all(read, F.lit(CANDIDATE), 0)).alias("part", "candidate"))
-    place = F.instr("text", F.col("candidate"))
+    given = F.col("asked") & ~F.col("text").rlike(ASSIGNS)
+    read = F.concat(F.when(given, "token=").otherwise(""), F.translate("text", OPEN + CLOSE, "\x03\x03"))
+    # between marks every second part is a candidate, and the others are what stands around it
+    parts = F.split(F.regexp_replace(read, f"({CANDIDATE})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    found = found.select("doc_id", "path", "word", "left", given.alias("given"), parts.alias("parts")).where(F.size("parts") > 1)
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("parts") - 3) / 2).cast("int"))))
+    at = F.col("part") * 2 + 1
+    ahead = F.array_join(F.slice("parts", F.lit(1), at), "")
     return found.select(
-        "doc_id", "word", "part", "candidate", "path",
-        F.concat("left", F.lit(" "), F.substr("text", F.lit(1), place - 1)).alias("before"),
-        F.substr("text", place + F.length("candidate")).alias("after"),
+        "doc_id", "word", "part", F.get("parts", at).alias("candidate"), "path",
+        F.concat("left", F.lit(" "), F.when(F.col("given"), F.substr(ahead, F.lit(7))).otherwise(ahead)).alias("before"),
+        F.array_join(F.slice("parts", at + 2, F.size("parts")), "").alias("after"),
     )
 
 
@@ -170,10 +196,13 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, path: str = "sourc
 
     ``docs`` needs doc_id and text, and ``path`` where it has one; other columns are not read.
     Null texts hold nothing; a repeated row gives its candidates again; a null doc_id is kept. ``word`` counts
-    words between ASCII white space (a text that begins with white space has an empty word 0).
+    words between ASCII white space (a text that begins with white space has an empty word 0). Very long
+    texts and words are read whole. An empty table gives an empty result. A ``model`` of one's own has
+    to be trained with ``dictionary(docs)`` to see the words that it sees here.
     ``score`` is the forest's share for a secret, rounded to 6 digits; is_secret from ``threshold`` on.
     """
-    model = model or train(drawn_findings(docs.sparkSession))
-    found = featured(candidates(docs, path))
+    words = dictionary(docs)
+    model = model or train(drawn_findings(docs.sparkSession), words)
+    found = featured(candidates(docs, path), words)
     judged = model.transform(found).withColumn("score", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
     return judged.select("doc_id", "word", "part", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", (F.col("score") >= threshold).alias("is_secret"))
