@@ -6,10 +6,13 @@ words fit a task. Counts are partial aggregates before they are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from papyrion.functions.text import context
 
@@ -83,19 +86,55 @@ def with_context(terms: DataFrame, chapters: DataFrame) -> DataFrame:
     return terms.join(first, ["book", "term"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
-def found_terms(batches: DataFrame, glossary: DataFrame, most: int = 5000) -> DataFrame:
+#: Terms and their characters that go out as one automaton; a larger glossary is joined by keys.
+MOST_TERMS, MOST_CHARS = 200_000, 4_000_000
+
+
+def found_terms(batches: DataFrame, glossary: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """JOIN-05: (columns of batches, term): terms that a batch's content holds, whatever the case, markup included.
 
-    A glossary of up to ``most`` terms is broadcast; its size is checked, a larger one is matched
-    by the first three characters of its terms instead, shorter terms by all they have.
+    A glossary of checked size (``most`` terms, MOST_CHARS characters) is one automaton that reads each
+    text once. A larger one is joined by the first three characters of its terms, shorter terms by all
+    they have. Both give the same rows.
     """
-    terms = glossary.select("term").where("term <> ''").distinct()
-    low, holds = F.lower("content"), F.contains(F.lower("content"), F.lower("term"))
-    if terms.limit(most + 1).count() <= most:
-        return batches.join(F.broadcast(terms), holds)
+    terms = glossary.select("term").where("term <> ''").distinct().withColumn("_low", F.lower("term"))
+    low = F.lower("content")
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("_low")), F.lit(0))).first()
+    if n <= most and chars <= MOST_CHARS:
+        words: dict[str, list[str]] = {}
+        for term, key in terms.collect():
+            words.setdefault(key, []).append(term)
+        shared = batches.sparkSession.sparkContext.broadcast(words)
+        schema = StructType([*batches.schema.fields, StructField("term", StringType())])
+        return batches.select("*", low.alias("_low")).mapInArrow(_spot(shared), schema)
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
     keyed = batches.withColumn("_gram", F.explode(F.array_distinct(F.concat(*map(cut, (1, 2, 3))))))
-    return keyed.join(terms.withColumn("_gram", F.substr(F.lower("term"), F.lit(1), F.lit(3))), "_gram").where(holds).drop("_gram")
+    keys = terms.select("term", "_low", F.substr("_low", F.lit(1), F.lit(3)).alias("_gram"))
+    return keyed.join(keys, "_gram").where(F.contains(low, F.col("_low"))).drop("_gram", "_low")
+
+
+def _spot(shared):
+    """Repeats each row for every term that its last column holds, and gives the term in its place."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for key, terms in shared.value.items():
+            automaton.add_word(key, terms)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in rows:
+            at, found = [], []
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
+                hits = {id(terms): terms for _, terms in automaton.iter(text.as_py() or "")} if len(automaton) else {}
+                for terms in hits.values():
+                    at += [k] * len(terms)
+                    found += terms
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], "term"])
+
+    return run
 
 
 def glossary_map(pairs: DataFrame) -> Column:

@@ -37,26 +37,47 @@ def squeeze(text: str) -> str:
     return _SPACE.sub(" ", text.replace("\u00a0", " ")).strip()
 
 
+_PLAIN = re.compile(r"[^\W_]+")  # what str.isalnum accepts
+
+
 def mostly_symbols(text: str) -> bool:
     """FLT-04 in Python, for decisions inside a walk."""
     c = "".join(text.split())
     if not c or _NUMBER.fullmatch(c):
         return True
-    plain = sum(ch.isalpha() or ch.isnumeric() for ch in c)
-    return plain == 0 or (len(c) - plain) / len(c) >= 0.6
+    marks = len(_PLAIN.sub("", c))
+    return marks == len(c) or marks / len(c) >= 0.6
+
 
+@dataclass(eq=False)
+class Page:
+    """Text and markup of a whole parsed page; every node knows its stretch of both until the tree is changed."""
 
-@dataclass
+    text: str = ""
+    html: str = ""
+    live: bool = False
+    paths: dict[int, str] = field(default_factory=dict)
+
+
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
     start: str = ""
+    page: Page = field(default_factory=Page)
+    kids: list[Node] = field(default_factory=list)
+    #: Stretches of the page's text and inner markup; number among equal siblings; interactive elements below; elements below.
+    t: tuple[int, int] = (0, 0)
+    h: tuple[int, int] = (0, 0)
+    nth: int = 0
+    active: bool = False
+    below: int = 0
 
     @property
     def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+        return self.kids if self.page.live else [c for c in self.children if isinstance(c, Node)]
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order; no recursion, so depth is no limit."""
@@ -68,6 +89,8 @@ class Node:
 
     @property
     def text(self) -> str:
+        if self.page.live:
+            return self.page.text[slice(*self.t)]
         out: list[str] = []
         stack: list[Node | str] = [self]
         while stack:
@@ -81,6 +104,8 @@ class Node:
     @property
     def html(self) -> str:
         """Inner markup."""
+        if self.page.live:
+            return self.page.html[slice(*self.h)]
         out: list[str] = []
         stack: list[Node | str | tuple[str]] = list(self.children[::-1])
         while stack:
@@ -99,12 +124,19 @@ class Node:
     @property
     def path(self) -> str:
         """EXP-13: tags with their number among equal siblings."""
-        parts, node = [], self
-        while node.parent is not None:
-            same = [e for e in node.parent.elements if e.tag == node.tag]
-            parts.append(f"{node.tag}:nth-of-type({next(k for k, e in enumerate(same, 1) if e is node)})")
+        parts, node, known = [], self, self.page.paths
+        while node.parent is not None and id(node) not in known:
+            nth = node.nth if node.page.live else next(k for k, e in enumerate((e for e in node.parent.elements if e.tag == node.tag), 1) if e is node)
+            parts.append(f"{node.tag}:nth-of-type({nth})")
             node = node.parent
-        return " > ".join(reversed(parts))
+        if id(node) in known:
+            parts.append(known[id(node)])
+        path = " > ".join(reversed(parts))
+        if self.page.live:
+            if len(known) > 64:  # elements near by share their way
+                known.clear()
+            known[id(self)] = path
+        return path
 
 
 class _Builder(HTMLParser):
@@ -120,7 +152,7 @@ class _Builder(HTMLParser):
                 self._close_to("p", ("body", "td", "th", "li", "div", "section", "article"))
             if closing:
                 self._close_to(*closing)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, start=self.get_starttag_text() or f"<{tag}>")
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, start=self.get_starttag_text() or f"<{tag}>", page=self.root.page)
         self.at.children.append(node)
         if not empty and (self.xml or tag not in VOID):
             self.at = node
@@ -161,9 +193,46 @@ def parse(html: str | None, xml: bool = False) -> Node:
     builder = _Builder(xml)
     builder.feed(html or "")
     builder.close()
+    _survey(builder.root)
     return builder.root
 
 
+def _survey(root: Node) -> None:
+    """One pass over a new tree: where each node's text and markup lie in the page's, and what is below it."""
+    texts: list[str] = []
+    marks: list[str] = []
+    t = h = 0
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    while stack:
+        item, done = stack.pop()
+        if isinstance(item, str):
+            texts.append(item)
+            marks.append(item)
+            t, h = t + len(item), h + len(item)
+        elif not done:
+            if item is not root:
+                marks.append(item.start)
+                h += len(item.start)
+            item.t, item.h = (t, t), (h, h)
+            item.kids = [c for c in item.children if isinstance(c, Node)]
+            if item.kids and item.tag in VOID:  # markup that leaves out children can't be one stretch
+                return
+            seen: dict[str, int] = {}
+            for kid in item.kids:
+                kid.nth = seen[kid.tag] = seen.get(kid.tag, 0) + 1
+            stack.append((item, True))
+            stack.extend((c, False) for c in item.children[::-1])
+        else:
+            item.t, item.h = (item.t[0], t), (item.h[0], h)
+            item.active = any(k.active or k.tag in INTERACTIVE for k in item.kids)
+            item.below = sum(1 + k.below for k in item.kids)
+            if item is not root and item.tag not in VOID:
+                marks.append(f"</{item.tag}>")
+                h += len(item.tag) + 3
+    page = root.page
+    page.text, page.html, page.live = "".join(texts), "".join(marks), True
+
+
 def body(root: Node) -> Node:
     return next((n for n in root.walk() if n.tag == "body"), root)
 
@@ -183,7 +252,8 @@ def blocked_region(node: Node) -> bool:
 
 def interactive(node: Node) -> bool:
     """FLT-07."""
-    return node.tag in INTERACTIVE or node.tag in ("script", "style") or any(n.tag in INTERACTIVE for n in node.walk())
+    inside = node.active if node.page.live else any(n.tag in INTERACTIVE for n in node.walk())
+    return node.tag in INTERACTIVE or node.tag in ("script", "style") or inside
 
 
 def simple_container(node: Node) -> bool:
@@ -201,7 +271,7 @@ def text_dominant(node: Node) -> bool:
     inline = bool(kids) and all(k.tag in INLINE for k in kids)
     if not inline and (direct == 0 or (kids and direct < 2)):
         return False
-    below = sum(1 for _ in zip(range(8), node.walk(), strict=False))
+    below = min(8, node.below) if node.page.live else sum(1 for _ in zip(range(8), node.walk(), strict=False))
     return len(text) >= max(3, 4 * len(kids) + 2 * below)
 
 
@@ -298,6 +368,8 @@ def content_root(root: Node) -> Node:
 
 def unwrap_spans(root: Node, ids: set[str], classes: set[str]) -> None:
     """EXP-16: spans without language, style, a referenced id or a defined class give way to their children."""
+    root.page.live = False
+    root.page.paths.clear()
     for node in [n for n in root.walk() if n.tag == "span"]:
         needed = "lang" in node.attrs or "xml:lang" in node.attrs or "style" in node.attrs or node.attrs.get("id", "") in ids or classes & set(node.attrs.get("class", "").split())
         if not needed and node.parent is not None:
@@ -367,6 +439,8 @@ def first_heading(root: Node) -> str | None:
 
 # ---------------------------------------------------------------- Spark
 
+#: Characters of a batch of elements before it is handed on.
+OUT_CHARS = 4_000_000
 NODES = "key {key}, id string, ord long, tag string, css_class string, dom_path string, content string, text string, cells array<string>, reason string"
 
 
@@ -376,16 +450,24 @@ def explode(docs: DataFrame, key: str, how: Callable[[Node], list[tuple[str, int
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
     names = ["id", "ord", "tag", "css_class", "dom_path", "content", "text", "cells", "reason"]
 
+    def together(key_type: pa.DataType, keys: list, out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=["key", *names])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for name, order, node, reason in how(parse(text, xml)):
+            kind, keys, out, size = batch.schema.field(0).type, [], [], 0
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name, order, node, reason in how(parse(text.as_py(), xml)):
                     cells = [squeeze(c.text) for c in node.walk() if c.tag in ("td", "th")] if node.tag == "table" else None
+                    row = (name, order, node.tag, node.attrs.get("class"), node.path, node.html.strip(), squeeze(node.text), cells, reason)
                     keys.append(k)
-                    out.append((name, order, node.tag, node.attrs.get("class"), node.path, node.html.strip(), squeeze(node.text), cells, reason))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=["key", *names])
+                    out.append(row)
+                    size += len(row[4]) + 2 * len(row[5])
+                    if size >= OUT_CHARS:  # nested elements repeat their content, so a batch is bounded by what it holds
+                        yield together(kind, keys, out)
+                        keys, out, size = [], [], 0
+            yield together(kind, keys, out)
 
     return docs.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html")).mapInArrow(rows, NODES.format(key=kind)).withColumnRenamed("key", key)
 

@@ -1,5 +1,6 @@
 """Hand-traced cases of single operators, and the inline fixtures of layout and tables."""
 
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,19 @@ def test_visible_and_structural_nodes():
 def test_deep_markup_is_no_limit():
     root = dom.parse("<div>" * 3000 + "deep words in here" + "</div>" * 3000)
     assert dom.squeeze(root.text) == "deep words in here" and len(list(root.walk())) == 3000
+    began = time.process_time()
+    root = dom.parse("<div>" * 5000 + "deep words in here" + "</div>" * 5000)
+    rows = [(node.path, node.html) for *_, node, _ in dom.visible_body(root)]
+    assert len(rows) == 5000 and rows[4999][0].count(" > ") == 4999 and time.process_time() - began < 5
+
+
+def test_surveyed_trees_tell_what_changed_trees_tell():
+    """Texts, markup, paths and what is below, from the pass over the page and from the nodes themselves."""
+    for page in ("<p>a<p>b<b>c</b><br>d", "<ul><li>1<li>2<a href=x>3</a></ul><div>&amp;x</div>", "<div><div>a</div><span>b</span><div><button>c</button></div></div>", "", "text only"):
+        root = dom.parse(page)
+        told = [(n.text, n.html, n.path, dom.interactive(n), dom.text_dominant(n), [c.tag for c in n.elements]) for n in root.walk()]
+        root.page.live = False
+        assert told == [(n.text, n.html, n.path, dom.interactive(n), dom.text_dominant(n), [c.tag for c in n.elements]) for n in root.walk()]
 
 
 def test_anchor_titles():

@@ -79,6 +79,8 @@ def test_large_glossary_finds_all_short_terms(spark):
     terms = [*"abcdefg一二", "ab", "一二", "Zz", "abc", "long term", "q", ""]
     batches = [(1, "xABc 一二"), (2, "g"), (3, "a long TERM zz"), (4, ""), (5, None), (6, "二")]
     rows = spark.createDataFrame(batches, "id long, content string")
-    found = glossary.found_terms(rows, spark.createDataFrame([(t,) for t in [*terms, "a"]], "term string"), most=3)
-    assert found.columns == ["id", "content", "term"]
-    assert sorted((r.id, r.term) for r in found.collect()) == sorted((i, t) for i, c in batches for t in terms if c and t and t.lower() in c.lower())
+    for most in (3, 1000):
+        found = glossary.found_terms(rows, spark.createDataFrame([(t,) for t in [*terms, "a"]], "term string"), most=most)
+        assert found.columns == ["id", "content", "term"]
+        assert sorted((r.id, r.term) for r in found.collect()) == sorted((i, t) for i, c in batches for t in terms if c and t and t.lower() in c.lower())
+    assert glossary.found_terms(rows, spark.createDataFrame([], "term string")).count() == 0
