@@ -34,37 +34,25 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(title)
 
 
-@query("""
-with p as (select l_orderkey as doc, count(distinct l_linenumber) as n, max(l_linenumber) as last from lineitem group by 1),
-g as (select l_orderkey as doc, l_linenumber as k, l_linenumber - lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) as gap from (select distinct l_orderkey, l_linenumber from lineitem))
-select p.doc, 1::bigint as tables, n as rows from p where n >= 2 and not exists (select 1 from g where g.doc = p.doc and gap > 2)
-""")
-def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TBL-01 and WIN-16: orders whose line numbers leave no gap over 16 points are one table."""
-    holes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber").distinct().groupBy("doc").agg(F.sort_array(F.collect_list("l_linenumber")).alias("k"))
-    even = F.forall(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.get("k", i) - F.get("k", i - 1) <= 2)
-    return table_detect_all(spark, sf_dir).join(holes.where((F.size("k") >= 2) & even), "doc", "left_semi")
+#: Lines more than 34 points apart (over three numbers) part two tables; a line alone is none.
+_ISLANDS = """
+d as (select distinct l_orderkey as doc, l_linenumber as k from lineitem),
+g as (select *, case when k - lag(k) over (partition by doc order by k) <= 3 then 0 else 1 end as begins from d),
+i as (select *, sum(begins) over (partition by doc order by k) as island from g),
+t as (select doc, island, count(*) as rows from i group by all having count(*) >= 2)
+"""
 
 
-@query()
-def table_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TBL-01 and WIN-16: the tables of every order, split at its gaps or not; the SQL of ``table_detect`` knows orders without wide gaps only."""
+@query(f"with {_ISLANDS} select doc, count(*)::bigint as tables, sum(rows)::bigint as rows from t group by doc")
+def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TBL-01 and WIN-16: the tables of every order, parted at its gaps or not."""
     found = tables.detect(grid(spark, sf_dir)).where("kind = 'table'")
     return found.groupBy("doc").agg(F.count("*").alias("tables"), F.sum(F.size("bodyBlockIds")).alias("rows"))
 
 
-@query("""
-select l_orderkey as doc, count(distinct l_linenumber) as marked from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 having count(distinct l_linenumber) = max(l_linenumber) and count(distinct l_linenumber) >= 2 and min(l_linenumber) = 1) group by 1
-""")
+@query(f"with {_ISLANDS} select doc, sum(rows)::bigint as marked from t group by doc")
 def table_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-15: blocks of tables without gaps become preserved table blocks."""
-    n = grid(spark, sf_dir).where("id <> 'cap'").groupBy("doc").agg(F.count("*").alias("n"), F.max(F.substring("id", 2, 9).cast("int")).alias("last"))
-    return table_marks_all(spark, sf_dir).join(n.where("n = last and n >= 2"), "doc", "left_semi")
-
-
-@query()
-def table_marks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-15: preserved table blocks of every order; the SQL of ``table_marks`` knows orders numbered without a gap only."""
+    """JOIN-15: blocks of tables become preserved table blocks."""
     g = grid(spark, sf_dir).withColumns({"preserveOriginal": F.lit(False), "preserveReason": F.lit("")})
     return tables.mark(g, tables.detect(g)).where("tableRole = 'table_body' and preserveOriginal").groupBy("doc").agg(F.count("*").alias("marked"))
 

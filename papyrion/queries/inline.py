@@ -17,13 +17,21 @@ def plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").alias("n"), F.length(F.array_join("t", "")).alias("chars"), F.get("t", F.lit(0)).alias("first"), F.element_at("t", -1).alias("last"))
 
 
-@query("select doc_id, 2::int as n, true as same from documents")
+@query(r"""
+with t as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+f as (select doc_id, pos, regexp_replace(line, '[$\\\\]', '', 'g') as plain from t),
+m as (select *, case when pos % 3 = 0 then 'a $x_' || pos || '$ b \\(y+' || pos || '\\) ' || plain when pos % 3 = 1 then '$$z$$' || plain else plain end as text from f)
+select doc_id, sum(case pos % 3 when 0 then 2 when 1 then 1 else 0 end)::bigint as n, md5(string_agg(case pos % 3 when 0 then 'a @@INLINE_FORMULA_1@@ b @@INLINE_FORMULA_2@@ ' || plain when 1 then '@@INLINE_FORMULA_1@@' || plain else plain end, chr(10) order by pos)) as protected_md5,
+    md5(string_agg(text, chr(10) order by pos)) as restored_md5 from m group by doc_id
+""".replace("\\\\", "\\"))
 def formula_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-11: two formulas of every document become placeholders and come back."""
-    text = F.concat(F.lit("$x_1$ "), F.regexp_replace("text", r"[$\\]", ""), F.lit(" \\(a+b\\) end"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).withColumn("p", inline.protect_formulas("t"))
-    back = inline.restore_formulas(F.col("p.html"), F.col("p.formulas"))
-    return rows.select("doc_id", F.size("p.formulas").alias("n"), (back == F.col("t")).alias("same"))
+    """STR-11: formulas of two thirds of all lines become placeholders and come back."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("pos", F.col("p") + 1)
+    plain, pos, kind = F.regexp_replace("line", r"[$\\]", ""), F.col("pos").cast("string"), F.col("pos") % 3
+    text = F.when(kind == 0, F.concat(F.lit("a $x_"), pos, F.lit("$ b \\(y+"), pos, F.lit("\\) "), plain)).when(kind == 1, F.concat(F.lit("$$z$$"), plain)).otherwise(plain)
+    rows = rows.withColumn("t", text).withColumn("p", inline.protect_formulas("t"))
+    joined = lambda c: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", c.alias("x")))), lambda r: r["x"]), "\n"))
+    return rows.groupBy("doc_id").agg(F.sum(F.size("p.formulas")).alias("n"), joined(F.col("p.html")).alias("protected_md5"), joined(inline.restore_formulas(F.col("p.html"), F.col("p.formulas"))).alias("restored_md5"))
 
 
 @query("""
@@ -83,8 +91,16 @@ def heading_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy((F.col("translatedText") == "").alias("empty")).agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, count(*) as blocks from (select doc_id, unnest(string_split(text, chr(10))) as x from documents) group by 1")
+@query(r"""
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as text from documents),
+b as (select doc_id, pos // 2 as block, pos, greatest(length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')), 1) as n, regexp_matches(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '[\p{L}\p{N}]') as worth from l),
+s as (select doc_id, block, coalesce(sum(n) filter (pos % 3 = 0 and worth), 0)::double / greatest(coalesce(sum(n) filter (worth), 0), 1) as share from b group by all)
+select doc_id, count(*) as blocks, round(sum(share), 6) as shares, count(*) filter (share >= 0.95) as code from s group by doc_id
+""")
 def monospace_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-31: shares are 0 or 1 here, since a block has one item; blocks by document."""
-    b = blocks(spark, sf_dir).withColumn("share", inline.monospace())
-    return b.where(F.col("share").between(0, 1)).groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("blocks"))
+    """FLT-31: blocks of two lines, each an item, every third of them monospace; lines without letters or digits do not count."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("text", F.when(F.col("text").rlike(r"[\p{L}\p{N}]"), F.col("text")).otherwise("--"))
+    item = F.struct("pos", F.col("text"), (F.col("pos") % 3 == 0).alias("isMonospaceLike"))
+    lines = F.array(F.struct(F.sort_array(F.collect_list(item)).alias("items")))
+    share = rows.groupBy("doc_id", F.floor(F.col("pos") / 2)).agg(lines.alias("layoutLines")).withColumn("share", inline.monospace())
+    return share.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.round(F.sum("share"), 6).alias("shares"), F.count(F.when(F.col("share") >= 0.95, 1)).alias("code"))

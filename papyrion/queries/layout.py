@@ -92,22 +92,19 @@ def erase_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 with {_BLOCKS},
-z as (select doc, page, regexp_replace(lower(t), '\d+', '#', 'g') as sig, y0, y1 from b),
-s as (select doc, page, sig, 'top' as zone from z where y1 <= 720 * 0.11 union all select doc, page, sig, 'bottom' from z where y0 >= 720 * 0.89),
-o as (select doc, zone, sig from s where length(sig) between 3 and 160 and not regexp_matches(sig, '^[\d\s./-]+$') group by all having count(distinct page) >= 2)
-select s.doc, count(*) as n from s join o using (doc, zone, sig) group by s.doc
+z as (select *, regexp_replace(lower(t), '\d+', '#', 'g') as sig, regexp_replace(upper(t), '[^A-Z0-9]+', '', 'g') as caps from b),
+s as (select doc, page, sig, pos, 'top' as zone from z where y1 <= 720 * 0.11 union all select doc, page, sig, pos, 'bottom' from z where y0 >= 720 * 0.89),
+o as (select doc, zone, sig from s where length(sig) between 3 and 160 and not regexp_matches(sig, '^[\d\s./-]+$') group by all having count(distinct page) >= 2),
+r as (
+    select doc, page, pos from z where y0 >= 720 * 0.89 and regexp_matches(t, '^\d{{1,3}}$')
+    union all select doc, page, pos from z where y0 >= 720 * 0.94 and regexp_matches(caps, 'NATURE|VOL') and (regexp_matches(caps, 'CORRECTED|SEPTEMBER') or regexp_matches(t, '(?:^|[^A-Za-z0-9_])\d{{1,3}}(?:$|[^A-Za-z0-9_])'))
+    union all select doc, page, pos from z where y1 <= 720 * 0.12 and t <> '' and (contains(lower(t), 'arxiv') or (regexp_matches(t, '\[[A-Za-z.:-]+\]') and regexp_matches(t, '\d{{4}}'))
+        or regexp_matches(t, '(?i)(?:^|[^A-Za-z0-9_])(?:cs|math|stat|econ|q-bio|hep|astro-ph)\.[A-Z-]+(?:$|[^A-Za-z0-9_-])'))
+)
+select doc, count(*) as n from (select s.doc, s.page, s.pos from s join o using (doc, zone, sig) union select * from r) group by doc
 """)
 def periphery_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-15 and FLT-25 by document."""
-    b = blocks(spark, sf_dir)
-    ids = layout.periphery(b)
-    plain = ids.join(b.where(~layout.journal_footer() & ~layout.page_number() & ~layout.margin_metadata()), ["doc", "id"], "left_semi")
-    return plain.groupBy("doc").agg(F.count("*").alias("n"))
-
-
-@query()
-def periphery_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-15 and FLT-25 by document, with what the margin rules find; the SQL of ``periphery_blocks`` knows repeated signatures only."""
+    """AGG-15 and FLT-25 by document: repeated signatures, page numbers, journal footers and identifiers in the margins."""
     return layout.periphery(blocks(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("n"))
 
 
@@ -232,15 +229,20 @@ def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merge_spans(rows, ("page",), "pos").select("page", "run", "text", F.col("bbox")[2].alias("x1"), "items")
 
 
-@query(f"with {_BOXES} select page, count(*) as n, true as same from x group by page")
+@query(f"""
+with {_BOXES}, r as (select page, min(x0) as rx0, min(y0) as ry0, max(x1) as rx1, max(y1) as ry1 from x group by page),
+t as (select x.*, r.*, case when pos % 2 = 0 then [y0 - ry0, rx1 - x1, y1 - ry0, rx1 - x0] else [ry1 - y1, x0 - rx0, ry1 - y0, x1 - rx0] end as u from x join r using (page))
+select page, count(*) as n, round(sum(u[1] + 2 * u[2] + 3 * u[3] + 4 * u[4]), 3) as turned, round(sum(x0 + 2 * y0 + 3 * x1 + 4 * y1), 3) as back from t group by page
+""")
 def rotation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-04: turning boxes of a region and turning them back."""
+    """GEO-04: boxes of a region turned by 90 or 270 degrees, and turned back."""
     b = boxes(spark, sf_dir)
     region = geom.union(F.col("bbox"))
     rows = b.join(b.groupBy("page").agg(region.alias("region")), "page").withColumn("d", F.when(F.col("pos") % 2 == 0, 90).otherwise(270))
-    back = geom.rotate_back(geom.rotate_in(F.col("bbox"), F.col("region"), F.col("d")), F.col("region"), F.col("d"))
-    same = F.forall(F.zip_with(back, "bbox", lambda p, q: F.abs(p - q) < 1e-4), lambda x: x)
-    return rows.withColumn("same", same).groupBy("page").agg(F.count("*").alias("n"), F.bool_and("same").alias("same"))
+    rows = rows.withColumn("u", geom.rotate_in(F.col("bbox"), F.col("region"), F.col("d")))
+    rows = rows.withColumn("v", geom.rotate_back(F.col("u"), F.col("region"), F.col("d")))
+    weighed = lambda c: F.round(F.sum(sum((F.col(c)[k] * (k + 1) for k in range(1, 4)), F.col(c)[0])), 3)
+    return rows.groupBy("page").agg(F.count("*").alias("n"), weighed("u").alias("turned"), weighed("v").alias("back"))
 
 
 @query("""

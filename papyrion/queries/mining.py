@@ -10,7 +10,7 @@ from papyrion.operators import glossary
 from papyrion.registry import query, table
 
 _WORDS = r"""
-docs as (select doc_id // 50 as book, doc_id as chapter, text from documents where lang = 'en'),
+docs as (select doc_id // 50 as book, doc_id as chapter, text from documents),
 w0 as (select book, chapter, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'),
        lambda x: length(x) > 1 and x not in ('the','and','a','of','to','in','is','it','that','with','as','for','was')) as ws from docs),
 w as (select book, chapter, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from w0)
@@ -32,7 +32,7 @@ select book, term, count, place from r where place <= {k}
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.floor(F.col("doc_id") / 50).alias("book"), F.col("doc_id").alias("chapter"), "text")
 
 

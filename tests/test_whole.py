@@ -22,7 +22,7 @@ def run(spark, tmp_path):
 def test_needles_of_all_items(run):
     items = [(k, f"x {n} y") for k, n in enumerate(["aa", "b", "cat", "aa", "zz", "dog", "b", "emu"])] + [(8, "one"), (9, None)]
     docs = [(1, "aaaaa cat dog dog"), (2, "emu b bb"), (3, None), (4, "")]
-    found = run("needle_occurrences_all", benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    found = run("needle_occurrences", benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     want = [(d, i, t.count(x.split(" ")[1])) for d, t in docs for i, x in items if t and x and " " in x and x.split(" ")[1] in t]
     assert sorted(map(tuple, found)) == sorted(want) and any(i >= 5 for _, i, _ in want)
 
@@ -58,9 +58,9 @@ def test_tables_of_pages_with_gaps(run):
         if found:
             want[o] = (len(found), sum(len(t["bodyBlockIds"]) for t in found), len({i for t in found for i in t["bodyBlockIds"]}))
     assert want[1] == (1, 3, 3) and want[2] == (2, 4, 4) and want[3] == (1, 4, 4)
-    detected = {r.doc: (r.tables, r["rows"]) for r in run("table_detect_all", lineitem=item)}
+    detected = {r.doc: (r.tables, r["rows"]) for r in run("table_detect", lineitem=item)}
     assert detected == {o: v[:2] for o, v in want.items()}
-    assert {r.doc: r.marked for r in run("table_marks_all")} == {o: v[2] for o, v in want.items()}
+    assert {r.doc: r.marked for r in run("table_marks")} == {o: v[2] for o, v in want.items()}
 
 
 def test_periphery_by_rules(run):
@@ -70,7 +70,7 @@ def test_periphery_by_rules(run):
         (1, "\n".join(page("arXiv:1706 [cs.CL] 2017", "42"))), (2, "\n".join(page("Running title", "7") + page("Running title", "8"))),
         (3, "\n".join(page("Plain top", "plain bottom"))), (4, "\n".join(page("Plain top", "1234"))), (5, None),
     ]
-    found = {r.doc: r.n for r in run("periphery_blocks_all", documents=(docs, "doc_id long, text string"))}
+    found = {r.doc: r.n for r in run("periphery_blocks", documents=(docs, "doc_id long, text string"))}
     assert found == {1: 2, 2: 4}
 
 
