@@ -89,6 +89,9 @@ def best_of_block(queries: np.ndarray, query_rows: np.ndarray, cands: np.ndarray
             scores, other = sums[row], names
             if own[row].any():
                 scores, other = scores[~own[row]], names[~own[row]]
+            if bounds[at + row] > -np.inf:  # what stays below is not among the best of all
+                pick = np.flatnonzero(scores >= bounds[at + row])
+                scores, other = scores[pick], other[pick]
             if len(scores) > k:
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
                 pick = np.flatnonzero(scores >= least)
