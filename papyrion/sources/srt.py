@@ -73,7 +73,7 @@ def external_files(files: DataFrame) -> DataFrame:
     base = F.lower(F.regexp_replace("video", r"\.[^.]+$", ""))
     fits = (stem == base) | F.startswith(stem, F.concat(base, F.lit("."))) | F.startswith(stem, F.concat(base, F.lit("_"))) | F.startswith(stem, F.concat(base, F.lit("-")))
     rows = files.where(ext.isin(*EXTERNAL) & fits)
-    order = Window.partitionBy("video").orderBy("name")
+    order = Window.partitionBy("video").orderBy(F.lower("name"), "name")
     return rows.select("video", "name", (F.row_number().over(order) - 1).alias("index"), ext.alias("codec_name"), languages.file_language(F.regexp_replace("name", r"\.[^.]+$", "")).alias("resolved_language"), F.lit("external").alias("kind"))
 
 

@@ -9,9 +9,6 @@ import papyrion.queries  # noqa: F401
 from papyrion import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Each of these takes long even on small tables; the others run all.
-QUICK = ("text_classify_tokens", "bigram_top100", "glossary_containment", "srt_roundtrip", "batch_subtitle", "plan_order", "html_links", "block_type", "bbox_union", "vertical_groups", "span_merge", "epub_roundtrip")
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -27,7 +24,7 @@ def rows(columns, found):
     return sorted(repr([clean(r[k]) for k in order]) for r in found)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, sf, duck, name):
     out = registry.QUERIES[name](spark, sf)
     want = duck.sql(registry.ORACLES[name])
