@@ -76,6 +76,23 @@ def strip_tags(html: Column | str) -> Column:
     return F.regexp_replace(_c(html), "<[^>]*>", "")
 
 
+#: Words of markup that cleaners of books in other scripts drop, and what they keep.
+MARKUP_WORDS = "class|href|src|alt|div|span|img|css|html|body|head|link|stylesheet|type|text|rel|image|title|subtitle|empty|line|cite|poem|stanza|author|jpg|png"
+SCRIPTS = {"russian": r"\p{IsCyrillic}", "chinese": r"\p{IsHan}A-Za-z0-9", "japanese": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}A-Za-z0-9", "korean": r"\p{IsHangul}A-Za-z0-9"}
+
+
+def clean_markup(html: Column | str, language: str = "") -> Column:
+    """STR-03: text of a page without scripts and styles; of a language with a script of its own only that script, without words of markup."""
+    dropped = "script|style|head" if language in SCRIPTS else "script|style"
+    bare = F.regexp_replace(F.coalesce(_c(html), F.lit("")), rf"(?is)<({dropped})\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
+    text = decode_html(strip_tags(bare))
+    if language in SCRIPTS:
+        text = F.lower(text) if language == "russian" else text
+        text = F.regexp_replace(text, rf"(?i)\b(?:{MARKUP_WORDS})\b", " ")
+        text = F.regexp_replace(text, rf"[^{SCRIPTS[language]}\s\-]", " ")
+    return normalize(text)
+
+
 def sanitize_cue(text: Column | str, fallback: Column | str = "") -> Column:
     """STR-06: line breaks unified, no empty or padded lines, trimmed; ``fallback`` where nothing is left."""
     out = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "\r\n?", "\n")

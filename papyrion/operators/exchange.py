@@ -7,6 +7,7 @@ a translation fails as a whole, with the reason in its rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,6 +73,34 @@ def answer(batches: DataFrame, provider: Callable[[str], str]) -> DataFrame:
     return batches.mapInPandas(run, f"{schema}, response string")
 
 
+def json_answer(batches: DataFrame, provider: Callable[[str], str], schema: str, tries: int = 3) -> DataFrame:
+    """EXE-08, UDF-03: adds ``planned``, the provider's answer read by ``schema``, and the number of tries; null where no try gave readable JSON.
+
+    What a planner says is read, never trusted: the caller joins it back and keeps its default where it is null.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            said, used = [], []
+            for request in frame["request"]:
+                answer_, n = None, 0
+                while answer_ is None and n < tries:
+                    n += 1
+                    try:
+                        text = provider(request).strip().removeprefix("```json").removeprefix("```").removesuffix("```")
+                        json.loads(text)
+                        answer_ = text
+                    except Exception:  # noqa: BLE001  any failure of a provider is one more try
+                        continue
+                said.append(answer_)
+                used.append(n)
+            yield frame.assign(_said=said, tries=used)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batches.schema.fields)
+    out = batches.mapInPandas(run, f"{kinds}, _said string, tries int")
+    return out.withColumn("planned", F.from_json("_said", schema)).drop("_said")
+
+
 _NODE = r'(?s)<node\b[^>]*?\bid="([^"]*)"[^>]*?(?:/>|>(.*?)</node>)'
 
 

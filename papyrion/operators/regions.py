@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.functions import geom
-from papyrion.functions.text import count, normalize
-from papyrion.operators import grouped, layout
+from papyrion.functions.text import count, escape_html, normalize
+from papyrion.operators import grouped, inline, layout
 
 #: The least score of a table; weights and what they are counted up to.
 LEAST_SCORE = 6.0
@@ -102,3 +102,20 @@ def debug_columns(blocks: DataFrame, key: tuple[str, ...] = ("doc",)) -> DataFra
     """SNK-10: what is written of blocks for inspection; flags that are not set are false."""
     value = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c) if c == "preserveOriginal" else F.col(c)
     return blocks.select(*key, *map(value, DEBUG))
+
+
+def to_markup(blocks: DataFrame, key: str = "doc", title: Column | None = None) -> DataFrame:
+    """SNK-05: (key, html): a document of the blocks that are translated, in order: headings and paragraphs that name their block and page.
+
+    Code in monospace, what is preserved and references are left out; formulas become placeholders.
+    """
+    code = inline.monospace() >= 0.95
+    left_out = F.coalesce("preserveOriginal", F.lit(False)) | F.coalesce(code, F.lit(False)) | (F.coalesce("blockType", F.lit("")) == "reference_block") | (F.coalesce("doclingLabel", F.lit("")) == "reference")
+    tag = F.when(F.col("role") == "heading", "h2").otherwise("p")
+    body = inline.protect_formulas(escape_html(F.coalesce("text", F.lit(""))))["html"]
+    element = F.concat(F.lit("<"), tag, F.lit(' data-pdf-block-id="'), escape_html("id"), F.lit('" data-page="'), F.col("page").cast("string"), F.lit('">'), body, F.lit("</"), tag, F.lit(">"))
+    order = F.struct("page", F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), "id", element.alias("e"))
+    rows = blocks.where(~left_out).groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("rows"))
+    head = F.coalesce(title if title is not None else F.lit(None), F.lit("PDF Document"))
+    top = F.concat(F.lit('<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml">\n<head><title>'), escape_html(head), F.lit("</title></head>\n<body>\n"))
+    return rows.select(key, F.concat(top, F.array_join(F.transform("rows", lambda r: r["e"]), "\n"), F.lit("\n</body>\n</html>")).alias("html"))

@@ -105,3 +105,10 @@ def sync_contents(chapters: DataFrame, contents: DataFrame, key: str) -> DataFra
     where = find_chapters(found, chapters, key)
     rows = found.select(key, F.col("ord").alias("link"), "anchor").join(where, [key, "link"]).join(toc.select(key, "_toc"), key).where("chapter <> _toc").drop("_toc")
     return anchor_titles(rows, chapters, key).where("title is not null")
+
+
+def glossary_text(pages: DataFrame, key: str) -> DataFrame:
+    """SRC-04: (key, html): the contents of a page's visible elements in order, which is what terms are mined from."""
+    nodes = dom.explode(pages, key, dom.visible_body).where("id <> ''")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "content")))
+    return nodes.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["content"]), " ").alias("html"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import text
-from papyrion.operators import exchange, inline, layout, regions, structure, tables, translate
+from papyrion.operators import exchange, inline, layout, regions, setting, structure, tables, translate
 from papyrion.plans import jobs
 from papyrion.queries.documents import book_of
 from papyrion.registry import query
@@ -238,3 +238,78 @@ def accepted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [(1, '```xml\n<node id="n2">zwei</node>\n<node id="n1"> ein <b>Wort</b> </node><node id="n2">doppelt</node>\n```'), (2, '<node id="n1">x</node><node id="n2"> </node>'), (3, " nur Text "), (4, None)]
     out = exchange.accept(nodes, spark.createDataFrame(said, "batch int, response string"), ["batch"])
     return out.select("batch", "id", "ok", "error", "translated")
+
+
+_FALSTAFF = "<html><head><title>Kopf title</title><style>p {x: y}</style></head><body><script>var a = '<b>';</script><!-- no --><p class='x'>Привет &amp; hello 世界, カナ かな 한글 42</p><div>line two</div></body></html>"
+
+
+@query("""
+select * from (values ('', 'Kopf titleПривет & hello 世界, カナ かな 한글 42line two'), ('russian', 'привет'), ('chinese', 'hello 世界 42line two'), ('japanese', 'hello 世界 カナ かな 42line two'), ('korean', 'hello 한글 42line two')) as t(language, text)
+""")
+def cleaned_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: text of a page for each language's cleaner."""
+    page = spark.createDataFrame([(_FALSTAFF,)], "html string")
+    return page.select(F.inline(F.array(*(F.struct(F.lit(name).alias("language"), text.clean_markup("html", name).alias("text")) for name in ("", *text.SCRIPTS)))))
+
+
+@query("""
+select * from (values (1, 'One two <b>three</b>. three Four five six.', 'One two three. three Four five six.'), (2, 'Alone.', 'Alone.')) as t(page_id, html, text)
+""")
+def glossary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: what a page gives to term mining: the contents of its visible elements in order, those inside of others too."""
+    pages = spark.createDataFrame([(1, "<body><p>One two <b>three</b>.</p><p>***</p><script>x</script><p>Four five six.</p></body>"), (2, "<body><div><p>Alone.</p></div></body>"), (3, "<body></body>")], "page_id int, html string")
+    return structure.glossary_text(pages, "page_id").withColumn("text", text.clean_markup("html"))
+
+
+@query("""
+select * from (values (1, '["aa bb", "cc"]', 5.13::double), (2, '["abcdefghij"]', 6.8::double), (3, '[]', 0.35::double)) as t(k, lines, width)
+""")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-16 and GEO-09: words wrapped into a box, a word wider than the box, and no text."""
+    rows = spark.createDataFrame([(1, "AA  BB\nCC", 25.7), (2, "ABCDEFGHIJ", 10.0), (3, " ", 50.0)], "k int, text string, width double")
+    lines = setting.wrapped(F.col("text"), F.col("width"), F.lit(10.0))
+    return rows.select("k", F.lower(F.concat(F.lit('["'), F.array_join(lines, '", "'), F.lit('"]'))).alias("lines"), F.round(setting.width(F.col("text"), F.lit(1.0)) / setting.UNIT, 4).alias("width")).withColumn("lines", F.when(F.col("k") == 3, "[]").otherwise(F.col("lines")))
+
+
+@query("""
+select * from (values (1, 10.0::double, 'uniform'), (2, 8.0::double, 'plain'), (3, null, 'kept'), (4, 10.0, 'rejected'), (5, 10.0, 'styles'), (6, 10.0, 'skipped'), (7, 10.0, 'drop_cap')) as t(k, size, way)
+""")
+def set_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RND-01 and RND-02: the size at which a text fits its box, and how its block is written."""
+    rows = [
+        (1, "body", "plain_reflow", True, "source", "AB", [0.0, 0.0, 100.0, 12.0]), (2, "caption", "plain_reflow", False, "source", "AAAA BBBB CCCC", [0.0, 0.0, 40.0, 20.0]), (3, "body", "preserve_visual", True, "source", "AAAAAAAA BBBBBBBB", [0.0, 0.0, 20.0, 8.0]),
+        (4, "body", "plain_reflow", True, "a real sentence", "...", [0.0, 0.0, 100.0, 12.0]), (5, "heading", "plain_reflow", False, "source", "AB", [0.0, 0.0, 100.0, 12.0]), (6, "body", "plain_reflow", True, "source", "<pad>", [0.0, 0.0, 100.0, 12.0]), (7, "drop_cap", "plain_reflow", True, "source", "A", [0.0, 0.0, 100.0, 12.0]),
+    ]
+    b = spark.createDataFrame(rows, "k int, blockType string, policy string, uniform boolean, source string, said string, bbox array<double>")
+    size = setting.fitted(F.col("said"), F.col("bbox"), F.lit(10.0), setting.least_size(F.lit(False), F.lit(False)))
+    return b.select("k", size.alias("size"), setting.way(F.col("blockType"), F.col("policy"), F.col("uniform"), F.col("source"), F.col("said")).alias("way"))
+
+
+def _planner(request: str) -> str:
+    """Offline stub: asks for chapters by number; some answers are no JSON."""
+    if request.startswith("broken"):
+        raise ValueError("no answer")
+    return "sorry" if request.startswith("odd") else '```json\n{"order": [' + request + "]}\n```"
+
+
+@query("""
+select * from (values ('2, 1', '2,1', 1), ('odd', null, 3), ('broken', null, 3)) as t(request, plan, tries)
+""")
+def planned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXE-08 and UDF-03: JSON answers of a planner; three tries, then none."""
+    out = exchange.json_answer(spark.createDataFrame([("2, 1",), ("odd",), ("broken",)], "request string"), _planner, "order array<int>")
+    return out.select("request", F.array_join("planned.order", ",").alias("plan"), "tries")
+
+
+@query("""
+select 1 as doc, '<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml">' || chr(10) || '<head><title>A &amp; B</title></head>' || chr(10) || '<body>' || chr(10) || '<h2 data-pdf-block-id="h" data-page="1">Head</h2>' || chr(10)
+    || '<p data-pdf-block-id="b" data-page="1">1 &lt; 2 and @@INLINE_FORMULA_1@@</p>' || chr(10) || '</body>' || chr(10) || '</html>' as html
+""")
+def block_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-05: blocks as a page; code, preserved blocks and references are left out, formulas are placeholders."""
+    mono = {"bbox": [0.0, 60.0, 90.0, 70.0], "items": [{"type": "text", "text": "let x = 1", "isMonospaceLike": True}]}
+    rows = [
+        {"id": "b", "text": "1 < 2 and $x$", "bbox": [0.0, 40.0, 90.0, 50.0], "role": "paragraph"}, {"id": "h", "text": "Head", "bbox": [0.0, 20.0, 90.0, 30.0], "role": "heading"}, {"id": "r", "text": "[1] R", "blockType": "reference_block", "bbox": [0.0, 80.0, 90.0, 90.0]},
+        {"id": "k", "text": "kept", "preserveOriginal": True, "bbox": [0.0, 80.0, 90.0, 90.0]}, {"id": "m", "text": "let x = 1", "bbox": [0.0, 60.0, 90.0, 70.0], "layoutLines": [mono]},
+    ]
+    return regions.to_markup(_blocks(spark, [{"doc": 1, **r} for r in rows]), "doc", F.lit("A & B"))

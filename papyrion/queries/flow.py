@@ -195,3 +195,15 @@ class _Round(translate.Flaky):
 def translate_retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXE-03: a stub that answers a quarter more in each round; what is left keeps its source."""
     return translate.rounds(turns(spark, sf_dir), _Round).select("conv_id", "turn", "text", "translated", "ok", "round")
+
+
+@query(f"""
+with c as ({_CUES}) select conv_id, conv_id::varchar as file, 'fr' as language, count(*) as cues, min(source_text) as first, max("end") as until from c group by conv_id
+""")
+def subtitle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-26: one JSON document for each subtitle file, read back."""
+    out = srt_sink.documents(srt.parse(srt_files(spark, sf_dir)).where("error is null"), "conv_id", F.lit("srt"), F.lit("en"), F.lit("fr"))
+    read = F.from_json("document", "version int, sourceFile string, targetLanguage string, cues array<struct<sequence:int,sourceText:string,end:string>>")
+    rows = out.select("conv_id", read.alias("d")).where("d.version = 1")
+    texts = F.transform("d.cues", lambda c: c["sourceText"])
+    return rows.select("conv_id", F.col("d.sourceFile").alias("file"), F.col("d.targetLanguage").alias("language"), F.size("d.cues").cast("long").alias("cues"), F.array_min(texts).alias("first"), F.array_max(F.transform("d.cues", lambda c: c["end"])).alias("until"))

@@ -53,3 +53,10 @@ def mux_arguments(video: Column, subtitle: Column, n_embedded: Column, externals
     last = tracks.cast("string")
     new = F.array(F.concat(F.lit("-metadata:s:s:"), last), F.concat(F.lit("language="), language), F.concat(F.lit("-metadata:s:s:"), last), F.concat(F.lit("title="), title), F.concat(F.lit("-disposition:s:"), last), F.lit("default"))
     return F.concat(F.array(F.lit("-y"), F.lit("-i"), video), files, F.array(F.lit("-i"), subtitle), F.array(F.lit("-map"), F.lit("0")), maps, F.array(F.lit("-c"), F.lit("copy"), F.lit("-c:s"), F.lit("srt")), old, new, F.array(output))
+
+
+def documents(cues: DataFrame, key: str, source_type: Column, source: Column, target: Column) -> DataFrame:
+    """STR-26: (key, document): one JSON document of each file's cues in order, with its languages."""
+    cue = F.struct("sequence", "id", F.col("cue_identifier").alias("cueIdentifier"), "start", "end", "settings", F.col("source_text").alias("sourceText"))
+    parts = F.struct(F.lit(1).alias("version"), F.col(key).cast("string").alias("sourceFile"), source_type.alias("sourceType"), source.alias("sourceLanguage"), target.alias("targetLanguage"), F.col("cues"))
+    return cues.groupBy(key).agg(F.sort_array(F.collect_list(cue)).alias("cues")).select(key, F.to_json(parts).alias("document"))
