@@ -313,3 +313,43 @@ def block_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"id": "k", "text": "kept", "preserveOriginal": True, "bbox": [0.0, 80.0, 90.0, 90.0]}, {"id": "m", "text": "let x = 1", "bbox": [0.0, 60.0, 90.0, 70.0], "layoutLines": [mono]},
     ]
     return regions.to_markup(_blocks(spark, [{"doc": 1, **r} for r in rows]), "doc", F.lit("A & B"))
+
+
+_SHORT = "<body><h1>Title here</h1><p>Text <b>bold</b> end</p><p>12</p><p></p><table><tr><td>one a</td><td> two b </td></tr></table><h3>Part</h3><h3>Part</h3></body>"
+
+
+def _short(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, _SHORT)], "page_id int, html string")
+
+
+@query("""
+select * from (values ('node_0', 'h1', 'Title here', ''), ('node_2', 'p', 'Text bold end', ''), ('node_1', 'b', 'bold', ''), ('', 'p', '12', 'mostly_symbols'), ('node_3', 'td', 'one a', ''), ('node_4', 'td', 'two b', ''), ('node_5', 'tr', 'one a two b', ''), ('', 'table', 'one a two b', 'duplicate_parent'),
+    ('node_6', 'h3', 'Part', ''), ('node_7', 'h3', 'Part', '')) as t(id, tag, text, reason)
+""")
+def html_fixed_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP-02 and LOG-01: visible texts with ids from the inside out; marks only, and parents of one long text, are left out with a reason."""
+    return dom.explode(_short(spark), "page_id", dom.visible_body).select("id", "tag", "text", "reason")
+
+
+@query("""
+select * from (values ('node_0', 'h1', 'Title here', ''), ('node_1', 'p', 'Text bold end', ''), ('node_2', 'p', '12', ''), ('', 'p', '', 'empty'), ('node_4', 'h3', 'Part', ''), ('node_5', 'h3', 'Part', '')) as t(id, tag, text, reason)
+""")
+def html_fixed_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP-01: text elements by their tags; empty ones are counted but not sent."""
+    return dom.explode(_short(spark), "page_id", dom.explicit).select("id", "tag", "text", "reason")
+
+
+@query("select 'table_0' as id, 'one a|two b' as cells, 'body:nth-of-type(1) > table:nth-of-type(1)' as path")
+def html_fixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP-04 and EXP-13: tables with their cells and the way to them."""
+    return dom.explode(_short(spark), "page_id", dom.tables).select("id", F.array_join("cells", "|").alias("cells"), F.col("dom_path").alias("path"))
+
+
+@query("""
+select * from (values (0, 'TABLE_REAL', 'KEEP'), (1, 'TABLE_PSEUDO', 'PLACEHOLDER')) as t(k, kind, action)
+""")
+def pseudo_table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-02, FLT-03 and STR-23: a table of words, and a grid of single marks as it comes out of character recognition."""
+    rows = spark.createDataFrame([(0, ["name", "value", "unit", "note"] * 4, "<td>x</td>"), (1, [".", "-", "|", ",", "'", "_"] * 4, "<td>.</td>")], "k int, cells array<string>, html string")
+    pseudo = text.pseudo_table(F.col("cells"), F.col("html"))
+    return rows.select("k", F.when(pseudo, "TABLE_PSEUDO").otherwise("TABLE_REAL").alias("kind"), F.when(pseudo, "PLACEHOLDER").otherwise("KEEP").alias("action"))
