@@ -27,8 +27,8 @@ BOOK_LISTS, CHAPTER_LISTS = ((1, 100), (2, 100), (3, 100), (4, 50)), ((2, 50), (
 LEAST_COUNT, CHAPTER_WORDS, CHAPTER_TERMS = 3, 50, 150
 
 
-def words(chapters: DataFrame, language: str = "english", pattern: str = "[a-z0-9_]+") -> DataFrame:
-    """STR-19, FLT-37: (book, chapter, pos, word) of (book, chapter, text): more than one character, no stop word.
+def word_lists(chapters: DataFrame, language: str = "english", pattern: str = "[a-z0-9_]+") -> DataFrame:
+    """STR-19, FLT-37: (book, chapter, words) of (book, chapter, text): words of more than one character that are no stop words.
 
     English words are ASCII; give ``[\\p{L}\\p{N}_]+`` for other languages. Tokenizers for
     unspaced scripts plug in here as a function that gives the same columns.
@@ -36,14 +36,28 @@ def words(chapters: DataFrame, language: str = "english", pattern: str = "[a-z0-
     found = F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0)
     stops = STOP_WORDS.get(language.lower(), STOP_WORDS["english"]).split()
     kept = F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(stops))
-    return chapters.select("book", "chapter", F.posexplode(kept).alias("pos", "word"))
+    return chapters.select("book", "chapter", kept.alias("words")).where(F.size("words") > 0)
 
 
 def ngrams(found: DataFrame, n: int, within: tuple[str, ...] = ("book",)) -> DataFrame:
-    """AGG-02: (within..., chapter, pos, term): n words in a row; over a book they run across chapters."""
-    order = Window.partitionBy(*within).orderBy(*(c for c in ("chapter", "pos") if c not in within))
-    parts = [F.col("word"), *(F.lead("word", k).over(order) for k in range(1, n))]
-    return found.withColumn("term", F.concat_ws(" ", *parts)).withColumn("_last", parts[-1]).where("_last is not null").drop("_last", "word")
+    """AGG-02: (within..., chapter, pos, term) of word lists: n words in a row; over a book they run across chapters.
+
+    Terms are formed inside of each list. At its end come the first words of the chapters that follow: each has a
+    word, so n - 1 of them are enough, and only lists are sorted.
+    """
+    whole = F.col("words")
+    if n > 1 and "chapter" not in within:
+        after = Window.partitionBy(*within).orderBy("chapter").rowsBetween(1, n - 1)
+        found = found.withColumn("_next", F.slice(F.flatten(F.collect_list(F.slice("words", 1, n - 1)).over(after)), 1, n - 1))
+        whole = F.concat("words", "_next")
+    found = found.withColumn("_all", whole)
+    last = F.least(F.size("words"), F.size("_all") - (n - 1))
+    if n == 1:
+        grams = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
+    else:
+        at = F.when(last > 0, F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        grams = F.transform(at, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("_all", i + 1, n), " ").alias("term")))
+    return found.select(*dict.fromkeys((*within, "chapter")), F.inline(grams))
 
 
 def top_terms(terms: DataFrame, k: int, within: tuple[str, ...] = ("book",)) -> DataFrame:
@@ -55,8 +69,7 @@ def top_terms(terms: DataFrame, k: int, within: tuple[str, ...] = ("book",)) ->
 
 def chapter_terms(found: DataFrame) -> DataFrame:
     """AGG-04: (book, term, count, place): frequent n-grams of long chapters, summed over chapters."""
-    long_ = found.groupBy("book", "chapter").count().where(F.col("count") >= CHAPTER_WORDS).select("book", "chapter")
-    some = found.join(long_, ["book", "chapter"], "left_semi")
+    some = found.where(F.size("words") >= CHAPTER_WORDS)
     lists = [top_terms(ngrams(some, n, ("book", "chapter")), k, ("book", "chapter")).withColumn("n", F.lit(n)) for n, k in CHAPTER_LISTS]
     kept = reduce(DataFrame.unionByName, lists).where(F.col("count") >= LEAST_COUNT)
     summed = kept.groupBy("book", "term").agg(F.sum("count").alias("count"), F.min(F.struct("chapter", "n", "place")).alias("first"))

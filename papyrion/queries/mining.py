@@ -37,7 +37,7 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return glossary.words(chapters(spark, sf_dir))
+    return glossary.word_lists(chapters(spark, sf_dir))
 
 
 @query(_top(1, 100))

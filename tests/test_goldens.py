@@ -63,10 +63,22 @@ def test_plan_order(spark):
 
 
 def test_top_terms_keep_first_seen(spark):
-    words = spark.createDataFrame([(1, 1, k, w) for k, w in enumerate("baba")], "book int, chapter int, pos int, word string")
+    words = spark.createDataFrame([(1, 1, list("baba"))], "book int, chapter int, words array<string>")
     assert [(r.term, r["count"]) for r in glossary.top_terms(glossary.ngrams(words, 1), 2).orderBy("place").collect()] == [("b", 2), ("a", 2)]
 
 
+def test_ngrams_run_across_short_chapters(spark):
+    """Chapters of one word, in order, give the n-grams of the book as one list does."""
+    lists = [["a", "b", "c"], ["d"], ["e"], ["f", "g"], ["h"]]
+    words = spark.createDataFrame([(1, k, w) for k, w in enumerate(lists)] + [(2, 0, ["x"])], "book int, chapter int, words array<string>")
+    flat = [w for part in lists for w in part]
+    for n in (1, 2, 3, 4):
+        found = glossary.ngrams(words, n)
+        assert [r.term for r in found.where("book = 1").orderBy("chapter", "pos").collect()] == [" ".join(flat[k : k + n]) for k in range(len(flat) - n + 1)]
+        assert found.where("book = 2").count() == (n == 1)
+    assert [r.term for r in glossary.ngrams(words, 2, ("book", "chapter")).where("book = 1").orderBy("chapter", "pos").collect()] == ["a b", "b c", "f g"]
+
+
 def test_hrefs(spark):
     assert column(spark, ["./Text/Ch%201.xhtml#a", "a+b%2Bc", "%zz"], lambda x: structure.normalize_href(F.col(x))) == ["text/ch 1.xhtml", "a+b+c", "%zz"]
 
