@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from papyrion.llm import quality as Q
@@ -123,3 +125,69 @@ def test_cotraining_exchanges_labels():
     judge = Q.cotrain(rows[:60], [r[:4] for r in rows[60:]])
     right = sum((judge.score(*r[:4])[2] >= 0.5) == r[4] for r in rows)
     assert right / len(rows) > 0.97 and judge.meta.scale > 0
+
+
+def dense(row, width):
+    """One row of a view as a plain vector: its shape, then its slots, each over the root of their number."""
+    shape, slots = row
+    out = np.zeros(width + Q.HASHED)
+    out[:width] = shape
+    for s in slots:
+        out[width + s] = 1 / math.sqrt(len(slots))
+    return out
+
+
+def plain_fit(x, y, width):
+    w, g = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-6)
+    weight = np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    for _ in range(120):
+        grad = x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * weight) + 1e-3 * w
+        g += grad**2
+        w -= 0.3 * grad / np.sqrt(g)
+    return w
+
+
+def test_cotraining_against_a_plain_version():
+    """The whole exchange with dense vectors and lists, calibration by plain descent: the same scores."""
+    rng = np.random.default_rng(5)
+    make = lambda good, k: (" ".join(rng.choice(["fine", "calm", "river", "house"] if good else ["buy", "click", "now", "win"], 30)) + (f" n{k}" if k % 3 else ""), "lib1" if good ^ (k % 9 == 0) else "spam2", "en" if k % 4 else None, 100 + 7 * k if k % 5 else None)
+    labelled = [(*make(k % 2 == 0, k), k % 2 ^ 1) for k in range(48)]
+    unlabelled = [make(k % 3 == 0, 100 + k) for k in range(70)]
+    judge = Q.cotrain(labelled, unlabelled)
+    widths = {"text": Q.SHAPES, "meta": 6}
+    view = {"text": lambda r: dense(Q.text_view(r[0]), Q.SHAPES), "meta": lambda r: dense(Q.meta_view(*r[1:4]), 6)}
+    keep, teach = labelled[:12], labelled[12:]
+    sets = {k: ([f(r) for r in teach], [float(r[4]) for r in teach]) for k, f in view.items()}
+    left = {k: list(range(len(unlabelled))) for k in view}
+    for turn in range(Q.ROUNDS + 1):
+        models = {k: plain_fit(np.stack(x), np.array(y), widths[k]) for k, (x, y) in sets.items()}
+        if turn == Q.ROUNDS:
+            break
+        gifts = {}
+        for k, other in (("text", "meta"), ("meta", "text")):
+            p = {i: 1 / (1 + math.exp(-float(view[k](unlabelled[i]) @ models[k]))) for i in left[other]}
+            share = float(np.mean(sets[k][1]))
+            ups = sorted(p, key=lambda i: (-p[i], i))[: round(Q.EXCHANGED * share)]
+            downs = sorted(p, key=lambda i: (p[i], i))[: round(Q.EXCHANGED * (1 - share))]
+            gifts[other] = [(i, 1.0) for i in ups if p[i] >= Q.SURE] + [(i, 0.0) for i in downs if p[i] <= 1 - Q.SURE]
+        assert turn or any(gifts.values())
+        for k, given in gifts.items():
+            for i, y in given:
+                sets[k][0].append(view[k](unlabelled[i]))
+                sets[k][1].append(y)
+                left[k].remove(i)
+    y = np.array([float(r[4]) for r in keep])
+    target = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    prior, logits = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), {}
+    for k in view:
+        z = np.array([view[k](r) @ models[k] for r in keep])
+        mean, spread = z.mean(), z.std()
+        a, b = 1.0, 0.0
+        for _ in range(60000):
+            q = 1 / (1 + np.exp(-(a * (z - mean) / spread + b)))
+            a, b = a - 0.05 * float(((q - target) * (z - mean) / spread).sum() + 0.1 * a), b - 0.05 * float((q - target).sum())
+        logits[k] = (a, b, mean, spread)
+    for row in unlabelled[:20]:
+        own = {k: logits[k][0] * (float(view[k](row) @ models[k]) - logits[k][2]) / logits[k][3] + logits[k][1] for k in view}
+        want = 1 / (1 + math.exp(-(own["text"] + own["meta"] - prior)))
+        assert abs(judge.score(*row)[2] - want) < 1e-3
