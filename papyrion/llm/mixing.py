@@ -21,6 +21,8 @@ from papyrion.llm.shared import partitions, settle, word_count
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 42
+#: Parts of a source's rows in joins by source.
+SALT = 32
 
 
 def _shuffled(doc_id: Column, seed: int) -> Column:
@@ -86,10 +88,13 @@ def _served(docs: DataFrame, row: Column, seed: int, weights: tuple[int, ...]) -
     # words before each document, then those before its source's first one
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")]
     served = settle(_ahead(sized.where("size > 0"), order, {"ahead": F.col("size")}))
-    goal = goals.select(F.col("source").alias("s"), "source_size", "target")
     first = served.groupBy("source").agg(F.min("ahead").alias("first"))
-    same = F.col("source").eqNullSafe(F.col("s"))
-    served = served.join(goal.join(first, same).drop("source"), same)
+    goal = goals.join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    # a source may hold very many rows: its one row of goals comes in SALT copies, each for a part of them
+    goal = settle(goal.select(F.col("source").alias("s"), "source_size", "target", "first"))
+    salted = goal.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    same = F.col("source").eqNullSafe(F.col("s")) & ((F.col("row") % SALT).cast("int") == F.col("part"))
+    served = served.join(salted, same)
     total = F.col("ahead") - F.col("first") + F.col("size")
     queue = served.select("row", "doc_id", "key", "size", "source_size", "target", total.alias("total"), F.explode(F.sequence(F.lit(0), F.lit(MOST_COPIES - 1))).alias("copy"))
     queue = queue.withColumn("total", F.col("total") + F.col("copy") * F.col("source_size"))
@@ -102,7 +107,7 @@ def _served(docs: DataFrame, row: Column, seed: int, weights: tuple[int, ...]) -
     taken = queue.where(F.col("running") + F.col("size") <= F.lit(budget))
     taken = taken.groupBy("row").agg(F.count("*").alias("copies"))
     out = sized.join(taken, "row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
-    return out.join(goal, same).select("row", "doc_id", "source", "size", "copies", "source_size", "target")
+    return out.join(salted, same).select("row", "doc_id", "source", "size", "copies", "source_size", "target")
 
 
 def apply_mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -592,8 +592,8 @@ def _only_begun(tags: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame) -> Network:
     """A network from drawn windows and those of at most TRAIN_ROWS distinct texts with a digit or @ (TRAIN_CHARS characters together)."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return trained([r["text"] for r in sampled(texts, TRAIN_ROWS, TRAIN_CHARS)])
+    texts = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    return trained([r["text"] for r, _ in sampled(texts, TRAIN_ROWS, TRAIN_CHARS)])
 
 
 def trained(texts: list[str]) -> Network:

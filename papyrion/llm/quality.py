@@ -210,11 +210,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Judge:
     """
     rows = _columns(docs).where("text is not null")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    taught = rows.join(known.where(~held_out(F.col("doc_id"))), "doc_id")
-    teach = sampled(taught.select("doc_id", *VIEWED, "quality"), LABELLED, SAMPLE_CHARS * 2 // 3)
-    other = sampled(rows.join(known, "doc_id", "left_anti").select("doc_id", *VIEWED), UNLABELLED, SAMPLE_CHARS // 3)
+    rows = rows.select("doc_id", *VIEWED)
+    taught = known.where(~held_out(F.col("doc_id"))).withColumnRenamed("quality", "label")
+    teach = sampled(rows, LABELLED, SAMPLE_CHARS * 2 // 3, lambda sizes: sizes.join(taught, "doc_id"))
+    other = sampled(rows, UNLABELLED, SAMPLE_CHARS // 3, lambda sizes: sizes.join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")))
     view = lambda r: tuple(r[c] for c in VIEWED)
-    return cotrain([(*view(r), int(r["quality"] > 0)) for r in teach], [view(r) for r in other])
+    return cotrain([(*view(r), int(quality > 0)) for r, quality in teach], [view(r) for r, _ in other])
 
 
 def _scores(shared):

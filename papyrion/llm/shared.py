@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,24 +24,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sampled(rows: DataFrame, most_rows: int, most_chars: int) -> list:
-    """Distinct rows of ``rows`` (a ``text`` column among them), at most ``most_rows`` and ``most_chars`` characters of text together.
+def sampled(rows: DataFrame, most_rows: int, most_chars: int, label: Callable[[DataFrame], DataFrame] | None = None) -> list[tuple]:
+    """(row, label) of distinct rows of ``rows`` (doc_id and text among the columns): at most ``most_rows``, with ``most_chars`` characters of text together.
 
     Rows are chosen and ordered by a hash of all their columns, so copies of a row count once and
-    a value that repeats in very many rows brings no more than these bounds. Only hashes and lengths are shuffled.
+    a value that repeats in very many rows brings no more than these bounds. ``label`` gets (key, doc_id,
+    chars) of all rows, leaves out some and adds a column ``label``; texts take no part in its joins, and
+    only those that are chosen are moved.
     """
     keyed = rows.withColumn("_sample_key", F.xxhash64(*rows.columns))
-    sizes = keyed.groupBy("_sample_key").agg(F.max(F.length("text")).alias("chars"))
-    keys, held = [], 0
-    for key, chars in sizes.orderBy("_sample_key").limit(most_rows).collect():
+    sizes = keyed.select("_sample_key", "doc_id", F.length("text").alias("chars"))
+    sizes = (label(sizes) if label else sizes.withColumn("label", F.lit(None).cast("int"))).groupBy("_sample_key").agg(F.max("chars").alias("chars"), F.max("label").alias("label"))
+    keys, held = {}, 0
+    for key, chars, value in sizes.orderBy("_sample_key").limit(most_rows).collect():
         if held + chars <= most_chars:
-            keys.append((key,))
+            keys[key] = value
             held += chars
     if not keys:
         return []
-    chosen = rows.sparkSession.createDataFrame(keys, "_sample_key long")
+    chosen = rows.sparkSession.createDataFrame([(key,) for key in keys], "_sample_key long")
     some = keyed.join(F.broadcast(chosen), "_sample_key", "left_semi").dropDuplicates(["_sample_key"])
-    return [row for _, row in sorted((r["_sample_key"], r) for r in some.select("_sample_key", *rows.columns).toLocalIterator())]
+    found = {r["_sample_key"]: r for r in some.toLocalIterator()}
+    return [(found[key], keys[key]) for key in sorted(found)]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -204,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sampled(texts.join(chosen, "doc_id").select("doc_id", "text", "toxic"), TRAIN_ROWS, TRAIN_CHARS)
-    return learn([(r["text"], int(r["toxic"] > 0)) for r in rows])
+    rows = sampled(texts, TRAIN_ROWS, TRAIN_CHARS, lambda sizes: sizes.join(chosen.withColumnRenamed("toxic", "label"), "doc_id"))
+    return learn([(r["text"], int(toxic > 0)) for r, toxic in rows])
 
 
 def _scores(shared):
