@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from papyrion.functions.text import context
+from papyrion.runtime import settle
 
 #: Stop words.
 STOP_WORDS = {
@@ -93,9 +94,12 @@ def first_wins(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) ->
 
 
 def with_context(terms: DataFrame, chapters: DataFrame) -> DataFrame:
-    """STR-04: adds the context of a term in the first chapter of its book that has it; empty if none."""
-    hits = terms.join(chapters, "book").where(F.contains(F.lower("text"), F.lower("term")))
-    first = hits.groupBy("book", "term").agg(F.min_by(context(F.col("text"), F.col("term")), "chapter").alias("context"))
+    """STR-04: adds the context of a term in the first chapter of its book that has it; empty if none. Each text is searched once, for all terms."""
+    terms = settle(terms)  # short, and read three times
+    slim = chapters.select("book", "chapter", F.col("text").alias("content"))
+    hits = found_terms(slim, terms.select("term")).select("book", "chapter", "term").join(terms.select("book", "term").distinct(), ["book", "term"])
+    where = hits.groupBy("book", "term").agg(F.min("chapter").alias("chapter"))
+    first = where.join(chapters, ["book", "chapter"]).groupBy("book", "term").agg(F.min(context(F.col("text"), F.col("term"))).alias("context"))
     return terms.join(first, ["book", "term"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
