@@ -353,3 +353,38 @@ def pseudo_table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(0, ["name", "value", "unit", "note"] * 4, "<td>x</td>"), (1, [".", "-", "|", ",", "'", "_"] * 4, "<td>.</td>")], "k int, cells array<string>, html string")
     pseudo = text.pseudo_table(F.col("cells"), F.col("html"))
     return rows.select("k", F.when(pseudo, "TABLE_PSEUDO").otherwise("TABLE_REAL").alias("kind"), F.when(pseudo, "PLACEHOLDER").otherwise("KEEP").alias("action"))
+
+
+class _Stubborn:
+    """Offline stub: every batch fails twice before it is answered."""
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def translate(self, texts: list[str]) -> list[str | None]:
+        self.calls += 1
+        if self.calls % 3:
+            raise ConnectionError("network is down")
+        return [t.upper() for t in texts]
+
+
+class _Refusing:
+    """Offline stub: refuses for reasons of policy, or breaks in another way."""
+
+    def __init__(self, message: str):
+        self.message = message
+
+    def translate(self, texts: list[str]) -> list[str | None]:
+        raise ValueError(self.message)
+
+
+@query("""
+select * from (values ('again', 'A', true, 3, ''), ('again', 'B', true, 3, ''), ('refused', 'A', true, 2, ''), ('refused', 'B', true, 2, ''), ('broken', null, false, 3, 'ValueError: timeout while blocked by moderation')) as t(provider, translated, ok, attempts, error)
+""")
+def provider_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXE-02, EXE-07 and FLT-32: three tries, a fallback after a refusal but not after a broken request; failures are rows."""
+    rows = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    again = translate.translate(rows, _Stubborn(), pause=0).withColumn("provider", F.lit("again"))
+    refused = translate.translate(rows, _Refusing("blocked by content policy"), pause=0, fallback=translate.Upper()).withColumn("provider", F.lit("refused"))
+    broken = translate.translate(rows.limit(1), _Refusing("timeout while blocked by moderation"), pause=0, fallback=translate.Upper()).withColumn("provider", F.lit("broken"))
+    return again.unionByName(refused).unionByName(broken).select("provider", "translated", "ok", "attempts", "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from papyrion.functions import geom, text
 from papyrion.operators import inline, layout, regions, repair
 from papyrion.queries.layout import _BLOCKS, blocks
 from papyrion.registry import query, table
+from papyrion.runtime import ensure_checkpoint_dir
+from papyrion.sinks import epub as html_sink
+from papyrion.sources import epub
 
 #: Two boxes of each line item: a small one and one that is moved by its discount and tax.
 _PAIRS = """
@@ -191,3 +196,56 @@ def placeholder_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.reverse(F.transform(F.sequence(F.lit(1), F.col("pos") % 12 + 1), lambda i: F.concat(F.lit("@@INLINE_FORMULA_"), i, F.lit("@@"))))
     ordered = inline.placeholder_order(keys)
     return rows.select("doc", "pos", F.size(ordered).alias("last"), F.element_at(ordered, -1).alias("name"))
+
+
+@query(rf"""
+with {_BLOCKS}, c as (select t, len(regexp_extract_all(t, '{text.FORMULA_SYMBOLS}')) as symbols, len(regexp_extract_all(t, '{text.FORMULA_TOKENS}')) as tokens, len(regexp_extract_all(t, '{text.WORD}')) as words,
+    len(regexp_extract_all(t, '[A-Za-z0-9]')) as letters, len(regexp_extract_all(t, '[()]')) as brackets, role from b)
+select (symbols > 0 and tokens >= 1) or (tokens >= 2 and letters >= 4 and words <= 6) or (brackets >= 2 and symbols >= 1) as formula, role = 'heading' as section, lower(t) in ('references', 'bibliography', '参考文献') as reference,
+    length(t) <= 180 and regexp_matches(t, '{layout.BYLINE.replace("'", "''")}') as byline, count(*) as n from c group by all
+""")
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17, FLT-19 and FLT-21: rows by verdicts on formulas, sections, reference headings and bylines."""
+    b = blocks(spark, sf_dir)
+    verdicts = {"formula": text.formula_like("text"), "section": layout.section_signal(), "reference": layout.reference_heading(), "byline": layout.byline()}
+    return b.groupBy(*(v.alias(k) for k, v in verdicts.items())).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+with l as (select doc_id as doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as text from documents)
+select doc, count(*) as blocks, sum(length(text))::bigint as chars, count(distinct pos // 5)::bigint as pages, count(*) filter (pos % 5 = 0)::bigint as rules from l where doc % 7 <> 3 group by doc
+""")
+def payload_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16: JSON payloads, of blocks or of pages of blocks, with rule lines; those of version 1 are left out."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("page", F.floor(F.col("pos") / 5).cast("int") + 1)
+    block = F.struct(F.col("pos").cast("string").alias("id"), "page", "text")
+    pages = rows.groupBy("doc", "page").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
+    docs = pages.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page", "blocks"))).alias("pages"), F.map_from_entries(F.collect_list(F.struct(F.col("page").cast("string"), F.array(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))))).alias("pageLineHints"))
+    flat = F.flatten(F.transform("pages", lambda p: p["blocks"]))
+    by_blocks = F.to_json(F.struct(F.lit(2).alias("version"), flat.alias("blocks"), "pageLineHints"))
+    by_pages = F.to_json(F.struct(F.when(F.col("doc") % 7 == 3, 1).otherwise(3).alias("version"), "pages", "pageLineHints"))
+    files = docs.select("doc", F.when((F.col("doc") % 2 == 0) & (F.col("doc") % 7 != 3), by_blocks).otherwise(by_pages).alias("value"))
+    found = epub.payload_blocks(files).groupBy("doc").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), F.countDistinct("page").alias("pages"))
+    return found.join(epub.payload_rules(files).groupBy("doc").agg(F.count("*").alias("rules")), "doc")
+
+
+@query("""
+select doc_id as doc, case when doc_id % 3 = 0 then 'needs_review' else 'ok' end as status, case when doc_id % 3 = 0 then 2 else 0 end::bigint as issues from documents
+""")
+def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-02 and SNK-08: a document is fine without issues; issues are written and read again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    issues = docs.where("doc % 3 = 0").select("doc", F.explode(F.array(F.lit("translation_missing"), F.lit("source_text_residue"))).alias("type"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/issues-{uuid.uuid4().hex}"
+    repair.write_report(issues, path)
+    return repair.report(spark.read.json(path, "doc long, type string"), docs)
+
+
+@query("select page_id, length(html)::bigint as chars from pages where not contains(html, chr(10)) and not contains(html, chr(13))")
+def html_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02 and SRC-03: pages written as files and read again; those with line breaks would be several lines."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").where(~F.contains("html", F.lit("\n")) & ~F.contains("html", F.lit("\r")))
+    html_sink.write_html(pages.select(F.concat(F.col("page_id").cast("string"), F.lit(":"), "html").alias("html")), path)
+    back = spark.read.text(path)
+    return back.select(F.substring_index("value", ":", 1).cast("long").alias("page_id"), (F.length("value") - F.length(F.substring_index("value", ":", 1)) - 1).cast("long").alias("chars"))
