@@ -388,3 +388,26 @@ def provider_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     refused = translate.translate(rows, _Refusing("blocked by content policy"), pause=0, fallback=translate.Upper()).withColumn("provider", F.lit("refused"))
     broken = translate.translate(rows.limit(1), _Refusing("timeout while blocked by moderation"), pause=0, fallback=translate.Upper()).withColumn("provider", F.lit("broken"))
     return again.unionByName(refused).unionByName(broken).select("provider", "translated", "ok", "attempts", "error")
+
+
+def _ruled() -> tuple[list[dict], list[tuple]]:
+    """Two ruled tables on one page with a caption each, and a page with three rules far apart."""
+    ys = (100.0, 120.0, 140.0, 160.0, 180.0, 300.0, 320.0, 340.0, 360.0, 380.0)
+    row = lambda n, y: {"doc": 1, "id": f"r{n}", "blockType": "body", "text": "12.5 34.1 56.7", "bbox": [110.0, y + 5, 500.0, y + 15], "layoutLines": [_cells(y + 5, ["12.5", "34.1", "56.7"], x=110.0, step=130.0)]}
+    rows = [row(n, y) for n, y in enumerate(y for y in ys if y not in (180.0, 380.0))]
+    caption = lambda n, y: {"doc": 1, "id": f"c{n}", "blockType": "caption", "text": f"Table {n}. Values", "bbox": [108.0, y, 300.0, y + 10]}
+    lines = [(1, 1, [108.0, y, 504.0, y + 0.5]) for y in ys] + [(2, 1, [108.0, y, 504.0, y + 0.5]) for y in (100.0, 400.0, 700.0)]
+    plain = {"doc": 2, "id": "p", "blockType": "body", "text": _PROSE, "bbox": [108.0, 200.0, 500.0, 230.0], "layoutLines": []}
+    return [*rows, caption(1, 86.0), caption(2, 286.0), plain], lines
+
+
+@query("""
+select * from (values (1, 'c1', 'r0,r1,r2,r3', true), (1, 'c2', 'r4,r5,r6,r7', true)) as t(doc, captions, bodies, framed)
+""")
+def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-11, WIN-08, WIN-10, JOIN-12, JOIN-13, GEO-06 and TOP-05: rules in two groups frame two tables with their captions; rules far apart frame none."""
+    rows, lines = _ruled()
+    found = tables.detect(_blocks(spark, rows), spark.createDataFrame(lines, "doc int, page int, bbox array<double>")).where("kind = 'table'")
+    names = lambda part: F.array_join(F.array_sort(f"{part}BlockIds"), ",")
+    b = F.col("bbox")
+    return found.select("doc", names("caption").alias("captions"), names("body").alias("bodies"), ((b[0] <= 110) & (b[2] >= 500)).alias("framed"))
