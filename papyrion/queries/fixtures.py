@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import text
-from papyrion.operators import exchange, inline, layout, regions, setting, structure, tables, translate
+from papyrion.operators import exchange, inline, layout, regions, setting, structure, styles, tables, translate
 from papyrion.plans import jobs
 from papyrion.queries.documents import book_of
 from papyrion.registry import query
@@ -411,3 +411,39 @@ def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda part: F.array_join(F.array_sort(f"{part}BlockIds"), ",")
     b = F.col("bbox")
     return found.select("doc", names("caption").alias("captions"), names("body").alias("bodies"), ((b[0] <= 110) & (b[2] >= 500)).alias("framed"))
+
+
+@query("""
+select * from (values ('d1', 'h1', 100.0::double), ('d2', 'h2', 300.0::double)) as t(id, host, "anchorTop")
+""")
+def drop_cap_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-24 and JOIN-08: two large letters, each with the paragraph that wraps around it; a paragraph below and a short one are no hosts."""
+    words = "nce upon a time there was a house by the river, and nobody lived there."
+    cap = lambda i, y: {"doc": 1, "id": i, "text": "O", "bbox": [60.0, y, 80.0, y + 30.0], "fontSize": 30.0, "layoutLines": [_line(60, y, 80, y + 30, {"text": "O"})]}
+    host = lambda i, y, text=words: {"doc": 1, "id": i, "blockType": "body", "text": text, "bbox": [62.0, y, 300.0, y + 44.0], "fontSize": 10.0, "layoutLines": [_line(84, y, 300, y + 12), _line(84, y + 14, 300, y + 26), _line(62, y + 32, 300, y + 44)]}
+    rows = [cap("d1", 100.0), host("h1", 100.0), host("under", 150.0), cap("d2", 300.0), host("h2", 300.0), host("short", 302.0, "nly this")]
+    return styles.drop_cap_hosts(_blocks(spark, rows), F.lit(10.0)).select("id", "host", "anchorTop")
+
+
+@query("""
+select * from (values ('times', 'normal', false, 'Times-Roman'), ('times', 'normal', true, 'Times-Bold'), ('Garamond', 'italic', true, 'Times-Italic'), ('helv', 'monospace', true, 'hebo'), ('HELV', 'bold_italic', false, 'hebi'), ('cour', 'bold', true, 'cour'), ('times', 'monospace', false, 'cour')) as t(family, style, bold, font)
+""")
+def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-05: fonts of families and styles."""
+    rows = [("times", "normal", False), ("times", "normal", True), ("Garamond", "italic", True), ("helv", "monospace", True), ("HELV", "bold_italic", False), ("cour", "bold", True), ("times", "monospace", False)]
+    b = spark.createDataFrame(rows, "family string, style string, bold boolean")
+    return b.withColumn("font", styles.font_name(F.col("family"), F.col("style"), F.col("bold")))
+
+
+@query("""
+select * from (values ('two', 1.0::double, 0.0::double), ('tie', 0.0::double, 1.0::double), ('none', 0.0::double, 0.0::double)) as t(id, red, blue)
+""")
+def block_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-04: the colour of most characters, the first of equals, black without text."""
+    red, blue = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [
+        {"doc": 1, "id": "two", "layoutLines": [_line(0, 0, 9, 9, {"text": "ab", "color": blue}, {"text": "cde", "color": red})]}, {"doc": 1, "id": "tie", "layoutLines": [_line(0, 0, 9, 9, {"text": "ab", "color": blue}), _line(0, 9, 9, 18, {"text": "cd", "color": red})]},
+        {"doc": 1, "id": "none", "layoutLines": [_line(0, 0, 9, 9, {"text": " ", "color": red})]},
+    ]
+    out = styles.primary_colors(_blocks(spark, rows))
+    return out.select("id", F.col("color")[0].alias("red"), F.col("color")[2].alias("blue"))
