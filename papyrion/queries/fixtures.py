@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.functions import text
-from papyrion.operators import exchange, inline, layout, regions, setting, structure, styles, tables, translate
+from papyrion.operators import exchange, formulas, inline, layout, regions, setting, structure, styles, tables, translate
 from papyrion.plans import jobs
 from papyrion.queries.documents import book_of
 from papyrion.registry import query
@@ -447,3 +447,36 @@ def block_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     out = styles.primary_colors(_blocks(spark, rows))
     return out.select("id", F.col("color")[0].alias("red"), F.col("color")[2].alias("blue"))
+
+
+@query("""
+select * from (values ('both', 'let <span data-inline-formula="@@INLINE_FORMULA_1@@" translate="no">x &lt; 1</span> be <span data-inline-preserve="@@INLINE_PRESERVE_2@@" translate="no">code</span>', 'x < 1|code', 'formula|preserve'), ('plain', null, null, null)) as t(id, html, texts, kinds)
+""")
+def formula_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-12: formulas and monospace items of two lines as numbered elements; nothing for a block without them."""
+    lines = [_line(0, 0, 90, 9, {"text": "let "}, {"text": "x < 1", "type": "formula", "font": "CMMI10"}), _line(0, 10, 90, 19, {"text": "be "}, {"text": ""}, {"text": "code", "isMonospaceLike": True})]
+    rows = [{"doc": 1, "id": "both", "layoutLines": lines}, {"doc": 1, "id": "plain", "layoutLines": [_line(0, 0, 9, 9, {"text": "words"})]}]
+    m = formulas.line_markup(F.col("layoutLines"))
+    values = lambda part: F.array_join(F.transform(F.array_sort(F.map_entries("m.placeholders")), lambda e: e["value"][part]), "|")
+    return _blocks(spark, rows).withColumn("m", m).select("id", "m.html", values("text").alias("texts"), values("kind").alias("kinds"))
+
+
+@query("""
+select * from (values (1, 'Ein @@INLINE_FORMULA_1@@ Wort hier', 's1:4:28,s2:30:34'), (2, 'ohne', '')) as t(k, text, runs)
+""")
+def translated_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-13: text and style runs of a translated block; a run goes on over a placeholder and inner elements."""
+    rows = [(1, 'Ein <span data-style-marker="s1"><span data-inline-formula="@@INLINE_FORMULA_1@@" translate="no">x</span> <b>Wor</b></span><i>t</i> <span data-style-marker="s2">hier</span>'), (2, "ohne")]
+    out = formulas.answered(spark.createDataFrame(rows, "k int, html string"), "k")
+    return out.select("k", "text", F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["marker"], r["start"], r["end"])), ",").alias("runs"))
+
+
+@query("""
+select * from (values (1, 'p1', 'i1'), (1, 'p2', 'i3')) as t(doc, name, item)
+""")
+def formula_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-21: placeholders with the layout items that they stand for: by box, by text near by, not by text far off."""
+    items = [(1, "b", "i1", [0.0, 0.0, 10.0, 5.0], "x"), (1, "b", "i2", [50.0, 0.0, 60.0, 5.0], "y"), (1, "b", "i3", [20.0, 0.0, 30.0, 5.0], "z"), (2, "b", "i1", [0.0, 0.0, 10.0, 5.0], "x")]
+    names = [(1, "b", "p1", [0.5, 0.5, 10.5, 5.5], "other"), (1, "b", "p2", [21.5, 1.0, 44.0, 9.0], " z "), (1, "b", "p3", [90.0, 0.0, 99.0, 5.0], "y")]
+    found = formulas.matched_items(spark.createDataFrame(names, "doc int, id string, name string, bbox array<double>, text string"), spark.createDataFrame(items, "doc int, id string, item string, bbox array<double>, text string"))
+    return found.select("doc", "name", "item")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrion.operators import inline
+from papyrion.operators import formulas, inline
 from papyrion.queries.layout import blocks
 from papyrion.registry import query, table
 
@@ -104,3 +104,17 @@ def monospace_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(F.struct(F.sort_array(F.collect_list(item)).alias("items")))
     share = rows.groupBy("doc_id", F.floor(F.col("pos") / 2)).agg(lines.alias("layoutLines")).withColumn("share", inline.monospace())
     return share.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.round(F.sum("share"), 6).alias("shares"), F.count(F.when(F.col("share") >= 0.95, 1)).alias("code"))
+
+
+@query(f"""
+with d as (select doc_id, regexp_replace(text, '@', ' ', 'g') as x from documents), t as (select doc_id, len(regexp_extract_all(x, '{inline.TOKENS.replace(chr(39), chr(39) * 2)}')) as n from d)
+select doc_id, (2 * n + 3)::bigint as tokens, 3::bigint as formulas, (10.5 + 10.5 + 4)::double as width from t
+""")
+def mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP-11: texts between placeholders as tokens, placeholders with their widths."""
+    text = F.regexp_replace("text", "@", " ")
+    name = lambda n: F.lit(f"@@INLINE_FORMULA_{n}@@")
+    widths = F.create_map(name(1), F.lit(10.5), name(2), F.lit(4.0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", formulas.mixed_tokens(F.concat(name(1), text, name(2), text, name(1)), widths).alias("t"))
+    held = F.filter("t", lambda x: x["kind"] == "formula")
+    return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(held).cast("long").alias("formulas"), F.aggregate(held, F.lit(0.0), lambda a, x: a + x["width"]).alias("width"))
