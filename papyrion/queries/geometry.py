@@ -143,7 +143,7 @@ def region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e(page, region, x0, y0, x1, y1, score) as (values (1, 0, 10.0, 10.0, 60.0, 60.0, 9.0), (1, 1, 200.0, 10.0, 260.0, 50.0, 7.0), (2, 0, 0.0, 0.0, 130.0, 130.0, 8.0), (3, 0, 5.0, 5.0, 20.0, 20.0, 6.0)) select * from e
+with e(page, region, x0, y0, x1, y1, score) as (values (1, 0, 10.0, 10.0, 60.0, 60.0, 9.0), (1, 1, 200.0, 10.0, 260.0, 50.0, 7.0), (2, 0, 0.0, 0.0, 130.0, 130.0, 8.0), (3, 0, 5.0, 5.0, 20.0, 20.0, 6.0)) select page, region, x0::double as x0, y0::double as y0, x1::double as x1, y1::double as y1, score::double as score from e
 """)
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-06: by falling score, a region joins the first accepted one that it meets. Fixed rows: overlapping, apart, chained, too low."""
