@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import pieces as taken
 from papyrion.llm.shared import settle
 
 SCHEMA = "doc_id long, item_id long, distance int, budget int, passage_end int"
@@ -138,7 +139,7 @@ def _index(items: list[tuple[int, str]], rate: float) -> Index:
 def _scan(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared.value, rate)
-        for batch in batches:
+        for batch in taken(batches):
             rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.scan(normalise(text or ""))]
             doc, item, distance, budget, end = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(budget, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "distance", "budget", "passage_end"])
@@ -193,7 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 def _clean(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared.value, rate)
-        for batch in batches:
+        for batch in taken(batches):
             at = batch.schema.get_field_index("text")
             keep = [not index.scan(normalise(text or "")) for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

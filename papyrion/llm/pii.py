@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import pieces as taken
 from papyrion.llm.shared import sampled
 
 KINDS = ("email", "ip", "card", "phone")
@@ -611,7 +612,7 @@ def _write(spans: list[Span]) -> str:
 def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-        for batch in batches:
+        for batch in taken(batches):
             found = find([t or "" for t in batch.column(1).to_pylist()], shared.value)
             counts = [pa.array([sum(s[0] == k for s in spans) for _, spans in found], pa.int64()) for k in range(len(KINDS))]
             base = pa.array([hashlib.sha256(_write(b).encode()).hexdigest() for b, _ in found], pa.string())

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import pieces as taken
 from papyrion.llm.shared import sampled
 
 #: Labelled and unlabelled documents that are fetched for training, and the characters they may have together.
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Judge:
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
-        for batch in batches:
+        for batch in taken(batches):
             found = [judge.score(*r) for r in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
             text, meta, both = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.float64()), pa.array(meta, pa.float64()), pa.array(both, pa.float64()), pa.array([int(s >= THRESHOLD) for s in both], pa.int32())], names=["doc_id", "held_out", "text_score", "meta_score", "score", "predicted"])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.runtime import ensure_checkpoint_dir, settle
 
-__all__ = ["WORD", "ensure_checkpoint_dir", "partitions", "sampled", "settle", "table", "word_count"]
+__all__ = ["WORD", "ensure_checkpoint_dir", "partitions", "pieces", "sampled", "settle", "table", "word_count"]
 
 #: Code points that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +49,18 @@ def sampled(rows: DataFrame, most_rows: int, most_chars: int, label: Callable[[D
     return [(found[key], keys[key]) for key in sorted(found)]
 
 
+#: Bytes of an Arrow batch that a function takes at once.
+TAKEN = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int = TAKEN) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes, one row at least."""
+    for batch in batches:
+        step = max(1, int(size * batch.num_rows / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks for an explicit repartition: what the cluster has set for shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrion.llm.shared import ensure_checkpoint_dir, partitions
+from papyrion.llm.shared import ensure_checkpoint_dir, partitions, pieces
 
 MAGIC = b"RPS1"
 HEADER = struct.Struct("<4sIIIIIQ")
@@ -50,9 +50,9 @@ SHARD_IDS = 1 << 20
 #: A pair that occurs less often gets no rule; new rules a round (fewer than 2^15).
 MIN_COUNT, RULES_A_ROUND = 12, 6000
 #: Bytes of known pieces with their ids that a Python worker keeps; of an entry beside its contents.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 24
-#: Bytes of texts that are cut and looked up together; texts taken from Arrow at once; pieces encoded in one call.
-TOGETHER, ENCODED, PIECES = 6 << 20, 2048, 16384
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 24
+#: Bytes of texts that are cut and looked up together; pieces encoded in one call.
+TOGETHER, PIECES = 4 << 20, 16384
 
 
 # ---------------------------------------------------------------- encoding
@@ -457,18 +457,17 @@ def _write_shards(path: str):
             return row
 
         end = struct.pack("<I", END_ID)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED):
-                some = batch.slice(at, ENCODED)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    docs.append(doc)
-                    parts.append(ids.tobytes() + end)
-                    held += len(ids) + 1
-                    if held >= SHARD_IDS:
-                        yield close()
+        for some in pieces(batches, TOGETHER):
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            for doc, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
+                docs.append(doc)
+                parts.append(ids.tobytes() + end)
+                held += len(ids) + 1
+                if held >= SHARD_IDS:
+                    yield close()
         if docs:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     return run
 

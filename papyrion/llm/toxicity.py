@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.shared import pieces as taken
 from papyrion.llm.shared import sampled
 
 #: Labelled documents that may be used for learning, and the characters they may have together.
@@ -211,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
-        for batch in batches:
+        for batch in taken(batches):
             scores = [lexicon.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -234,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
-        for batch in batches:
+        for batch in taken(batches):
             at = batch.schema.get_field_index("text")
             keep = [lexicon.score(t) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
