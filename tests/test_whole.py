@@ -1,5 +1,6 @@
 """Queries that return whole tables, against brute force on small fixtures."""
 
+import duckdb
 import pytest
 
 import papyrion.queries  # noqa: F401
@@ -84,3 +85,18 @@ def test_large_glossary_finds_all_short_terms(spark):
         assert found.columns == ["id", "content", "term"]
         assert sorted((r.id, r.term) for r in found.collect()) == sorted((i, t) for i, c in batches for t in terms if c and t and t.lower() in c.lower())
     assert glossary.found_terms(rows, spark.createDataFrame([], "term string")).count() == 0
+
+
+HEADINGS_AS_WRITTEN = [
+    (1, "<h1>for&am</h1><p>x</p><h2>a &amp; b</h2>"), (2, "<h1>AT&T &copy 5</h1><h1>&#65 &#x41; &#66;</h1>"), (26, "<h2>x &# y; z</h2><h3>after &# it</h3><script>a && b</script><h4>then &amp</h4>"),
+    (27, "<h1>same &lt</h1><h1>same &lt</h1><h1>same &lt;</h1>"), (28, "text &# only <h1>R&D; &</h1><h2>end</h2> &x"), (29, None),
+]
+
+
+@pytest.mark.parametrize("name", ["html_headings_unique"])
+def test_headings_keep_entities_as_written(run, tmp_path, name):
+    """Entities without a semicolon, and broken ones, which hide no markup behind them."""
+    found = run(name, pages=(HEADINGS_AS_WRITTEN, "page_id long, html string"))
+    want = duckdb.sql(registry.ORACLES[name].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"))
+    assert sorted(tuple(r[c] for c in want.columns) for r in found) == sorted(want.fetchall())
+    assert {"for&am", "after &# it", "then &amp", "AT&T &copy 5"} <= {r.text for r in found}
