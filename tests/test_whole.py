@@ -93,7 +93,7 @@ HEADINGS_AS_WRITTEN = [
 ]
 
 
-@pytest.mark.parametrize("name", ["html_headings_unique"])
+@pytest.mark.parametrize("name", ["html_headings_unique", "html_headings_numbered"])
 def test_headings_keep_entities_as_written(run, tmp_path, name):
     """Entities without a semicolon, and broken ones, which hide no markup behind them."""
     found = run(name, pages=(HEADINGS_AS_WRITTEN, "page_id long, html string"))
