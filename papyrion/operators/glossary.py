@@ -7,12 +7,13 @@ words fit a task. Counts are partial aggregates before they are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from papyrion.functions.text import context
 from papyrion.runtime import settle
@@ -68,24 +69,114 @@ def top_terms(terms: DataFrame, k: int, within: tuple[str, ...] = ("book",)) ->
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("first")
 
 
-def chapter_terms(found: DataFrame) -> DataFrame:
-    """AGG-04: (book, term, count, place): frequent n-grams of long chapters, summed over chapters."""
-    some = found.where(F.size("words") >= CHAPTER_WORDS)
-    lists = [top_terms(ngrams(some, n, ("book", "chapter")), k, ("book", "chapter")).withColumn("n", F.lit(n)) for n, k in CHAPTER_LISTS]
-    kept = reduce(DataFrame.unionByName, lists).where(F.col("count") >= LEAST_COUNT)
+#: Between the words of a list on its way to ``frequent``; words of a pass that are counted at once, whole books.
+_GLUE, _WORDS = "\x1f", 400_000
+
+
+def frequent(found: DataFrame, in_books: bool = True, in_chapters: bool = True) -> DataFrame:
+    """AGG-02, AGG-04: (book, chapter, list, n, term, count, place) of BOOK_LISTS (chapter is null) and CHAPTER_LISTS (list is their number), counts from LEAST_COUNT on.
+
+    Word lists are moved once, to the task of their book. A term that is frequent there has frequent parts, so terms are
+    looked for only where those of one word less were found, and no table of all n-grams is made.
+    """
+    kinds = found.schema
+    schema = StructType([StructField("book", kinds["book"].dataType), StructField("chapter", kinds["chapter"].dataType), *(StructField(c, t) for c, t in (("list", IntegerType()), ("n", IntegerType()), ("term", StringType()), ("count", LongType()), ("place", IntegerType())))])
+    rows = found.where(F.size("words") > 0).select("book", "chapter", F.array_join("words", _GLUE).alias("_text"))
+    return rows.repartition("book").sortWithinPartitions("book", "chapter").mapInArrow(_count(in_books, in_chapters), schema)
+
+
+def _count(in_books: bool, in_chapters: bool):
+    def whole(books: list, chapters: list, texts: list[pa.Array], batch: pa.Schema) -> Iterator[pa.RecordBatch]:
+        lists = pc.split_pattern(pa.chunked_array(texts).cast(pa.large_string()), _GLUE).combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        words = lists.flatten()
+        sizes = np.diff(lists.offsets.to_numpy())
+        codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+        change = lambda keys: np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:]))])
+        row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        parts = []
+        if in_books:
+            unit = change(books)[row]
+            parts += [(i, n, k, *hit) for i, (n, k) in enumerate(BOOK_LISTS) for hit in _grams(codes, unit, unit, np.arange(len(codes)), n, k)]
+        if in_chapters:
+            some = np.repeat(sizes >= CHAPTER_WORDS, sizes)
+            kept = np.flatnonzero(some)
+            unit = change(list(zip(books, chapters)))[row]
+            parts += [(len(BOOK_LISTS), n, k, kept[at], count, place) for n, k in CHAPTER_LISTS for at, count, place in _grams(codes[kept], unit[kept], row[kept], pos[kept], n, k)]
+        for number, n, _, at, count, place in parts:
+            terms = words.take(pa.array(at))
+            for step in range(1, n):
+                terms = pc.binary_join_element_wise(terms, words.take(pa.array(at + step)), pa.scalar(" ", pa.large_string()))
+            where = row[at].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([books[k] for k in where], batch.field(0).type), pa.array([chapters[k] if number == len(BOOK_LISTS) else None for k in where], batch.field(1).type), pa.array([number] * len(at), pa.int32()),
+                 pa.array([n] * len(at), pa.int32()), terms.cast(pa.string()), pa.array(count, pa.int64()), pa.array(place, pa.int32())], names=["book", "chapter", "list", "n", "term", "count", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: list = []
+        chapters: list = []
+        texts: list[pa.Array] = []
+        held = 0
+        for batch in batches:
+            keys, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sizes = pc.binary_length(batch.column(2)).to_numpy()
+            at = 0
+            for k, (key, size) in enumerate(zip(keys, sizes.tolist())):
+                if held >= 6 * _WORDS and key != (keys[k - 1] if k else books[-1]):
+                    yield from whole(books + keys[at:k], chapters + parts[at:k], [*texts, batch.column(2).slice(at, k - at)], batch.schema)
+                    books, chapters, texts, held, at = [], [], [], 0, k
+                held += size
+            books, chapters, texts = books + keys[at:], chapters + parts[at:], [*texts, batch.column(2).slice(at)]
+        if books:
+            yield from whole(books, chapters, texts, batch.schema)
+
+    return run
+
+
+def _grams(codes, unit, run, pos, n: int, k: int):
+    """(index of one hit, count, place) of the ``k`` most frequent terms of ``n`` words of each unit, the least ``pos`` first; terms stay inside of a run."""
+    at, key = np.arange(len(codes)), unit * (codes.max(initial=0) + 1) + codes
+    for size in range(1, n + 1):
+        _, one, term, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        often = count >= LEAST_COUNT
+        if size < n:
+            ids = np.full(len(codes) + 1, -1)
+            ids[at] = np.where(often[term], term, -1)
+            at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & np.append(run[:-1] == run[1:], False)) if len(codes) else at
+            key = ids[at] * (len(count) + 1) + ids[at + 1]
+    first = np.full(len(count), np.iinfo(np.int64).max)
+    np.minimum.at(first, term, pos[at])
+    one, count, first = at[one[often]], count[often], first[often]
+    order = np.lexsort((first, -count, unit[one]))
+    one, count = one[order], count[order]
+    place = np.arange(len(one)) - np.searchsorted(unit[one], unit[one]) + 1
+    top = place <= k
+    if top.any():
+        yield one[top], count[top], place[top]
+
+
+def _merged(kept: DataFrame) -> DataFrame:
     summed = kept.groupBy("book", "term").agg(F.sum("count").alias("count"), F.min(F.struct("chapter", "n", "place")).alias("first"))
     order = Window.partitionBy("book").orderBy(F.col("count").desc(), "first")
     return summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CHAPTER_TERMS).drop("first")
 
 
+def chapter_terms(found: DataFrame) -> DataFrame:
+    """AGG-04: (book, term, count, place): frequent n-grams of long chapters, summed over chapters."""
+    return _merged(frequent(found, in_books=False))
+
+
 def candidates(found: DataFrame) -> DataFrame:
     """AGG-03, SET-01, AGG-05: (book, term, count, list): all lists one after the other; of a term the first stays.
 
     Counts below three go after the top-k lists are cut, so they may leave a list short.
     """
-    lists = [top_terms(ngrams(found, n), k).where(F.col("count") >= LEAST_COUNT).withColumn("list", F.lit(i)) for i, (n, k) in enumerate(BOOK_LISTS)]
-    lists.append(chapter_terms(found).withColumn("list", F.lit(len(BOOK_LISTS))))
-    return first_wins(reduce(DataFrame.unionByName, lists), ("book", "term"), ("list", "place"))
+    counted = settle(frequent(found))  # short, and read twice
+    last = len(BOOK_LISTS)
+    columns = ("book", "term", "count", "place", "list")
+    lists = counted.where(F.col("list") < last).select(*columns).unionByName(_merged(counted.where(F.col("list") == last)).withColumn("list", F.lit(last)))
+    return first_wins(lists, ("book", "term"), ("list", "place"))
 
 
 def first_wins(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

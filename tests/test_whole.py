@@ -100,3 +100,25 @@ def test_headings_keep_entities_as_written(run, tmp_path, name):
     want = duckdb.sql(registry.ORACLES[name].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"))
     assert sorted(tuple(r[c] for c in want.columns) for r in found) == sorted(want.fetchall())
     assert {"for&am", "after &# it", "then &amp", "AT&T &copy 5"} <= {r.text for r in found}
+
+
+def test_chapter_terms_make_no_table_of_all_ngrams(spark):
+    """Against brute force: ties, short chapters, terms at borders; counted where the words are."""
+    words = lambda k, n: [f"w{(k * 7 + i * i) % 9}" for i in range(n)]
+    rows = [(k // 4, k, words(k, n)) for k, n in enumerate((60, 49, 50, 200, 0, 75, 400, 51, 3))]
+    lists = spark.createDataFrame(rows, "book long, chapter long, words array<string>")
+    found = glossary.chapter_terms(lists)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for book in {b for b, _, _ in rows}:
+        sums: dict = {}
+        for _, c, ws in (r for r in rows if r[0] == book and len(r[2]) >= 50):
+            for n, most in glossary.CHAPTER_LISTS:
+                grams = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)]
+                top = sorted({g: None for g in grams}, key=lambda g: (-grams.count(g), grams.index(g)))[:most]
+                for place, g in enumerate((g for g in top if grams.count(g) >= 3), 1):
+                    count, first = sums.get(g, (0, (c, n, place)))
+                    sums[g] = (count + grams.count(g), first)
+        ranked = sorted(sums, key=lambda g: (-sums[g][0], sums[g][1]))[:150]
+        want |= {(book, g, sums[g][0], k) for k, g in enumerate(ranked, 1)}
+    assert want and {tuple(r) for r in found.select("book", "term", "count", "place").collect()} == want
