@@ -213,8 +213,7 @@ def found_terms(batches: DataFrame, glossary: DataFrame, most: int = MOST_TERMS)
         for term, key in terms.collect():
             words.setdefault(key, []).append(term)
         shared = batches.sparkSession.sparkContext.broadcast(words)
-        schema = StructType([*batches.schema.fields, StructField("term", StringType())])
-        return batches.select("*", low.alias("_low")).mapInArrow(_spot(shared), schema)
+        return batches.withColumn("_found", _spot(shared)(low)).select(*batches.columns, F.explode("_found").alias("term"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
     keyed = batches.withColumn("_gram", F.explode(F.array_distinct(F.concat(*map(cut, (1, 2, 3))))))
     keys = terms.select("term", "_low", F.substr("_low", F.lit(1), F.lit(3)).alias("_gram"))
@@ -222,27 +221,60 @@ def found_terms(batches: DataFrame, glossary: DataFrame, most: int = MOST_TERMS)
 
 
 def _spot(shared):
-    """Repeats each row for every term that its last column holds, and gives the term in its place."""
+    """Of each text the terms that it holds; only texts and terms pass through Python."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
+    @F.arrow_udf("array<string>")
+    def spot(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = [term for terms in shared.value.values() for term in terms]
+        groups, at = {}, 0
         for key, terms in shared.value.items():
-            automaton.add_word(key, terms)
-        if len(automaton):
-            automaton.make_automaton()
-        for batch in rows:
-            at, found = [], []
-            for k, text in enumerate(batch.column(batch.num_columns - 1)):
-                hits = {id(terms): terms for _, terms in automaton.iter(text.as_py() or "")} if len(automaton) else {}
-                for terms in hits.values():
-                    at += [k] * len(terms)
-                    found += terms
-            some = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], "term"])
-
-    return run
+            groups[key] = range(at, at := at + len(terms))
+        search, every = _automaton(groups), pa.array(names, pa.string())
+        for texts in batches:
+            hits, ends = [], [0]
+            for text in texts:
+                for numbers in search(text.as_py() or ""):
+                    hits.extend(numbers)
+                ends.append(len(hits))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), every.take(pa.array(hits, pa.int32())))
+
+    return spot
+
+
+def _spot_own():
+    """Of each text the places of the terms that it holds in the list beside it; one search for texts in a row with one list."""
+
+    @F.arrow_udf("array<int>")
+    def spot(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        now, search = None, None
+        for texts, lists in batches:
+            hits, ends = [], [0]
+            for k, text in enumerate(texts):
+                keys = lists[k].values
+                if now is None or not keys.equals(now):
+                    now, groups = keys, {}
+                    for i, key in enumerate(keys.to_pylist()):
+                        groups.setdefault(key, []).append(i)
+                    search = _automaton(groups)
+                for numbers in search(text.as_py() or ""):
+                    hits.extend(numbers)
+                ends.append(len(hits))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hits, pa.int32()))
+
+    return spot
+
+
+def _automaton(groups: dict):
+    """A function of a text that gives the values of the keys that it holds, each once."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for key, value in groups.items():
+        found.add_word(key, (key, value))
+    if not len(found):
+        return lambda text: []
+    found.make_automaton()
+    return lambda text: dict(x for _, x in found.iter(text)).values()
 
 
 def glossary_map(pairs: DataFrame) -> Column:

@@ -122,3 +122,11 @@ def test_chapter_terms_make_no_table_of_all_ngrams(spark):
         ranked = sorted(sums, key=lambda g: (-sums[g][0], sums[g][1]))[:150]
         want |= {(book, g, sums[g][0], k) for k, g in enumerate(ranked, 1)}
     assert want and {tuple(r) for r in found.select("book", "term", "count", "place").collect()} == want
+
+
+def test_found_terms_do_not_repeat_the_text(spark):
+    """2 MB of text with 1500 terms: the text beside each of them would be 3 GB."""
+    terms = [f"q{k:04d}" for k in range(1500)]
+    text = " ".join(terms) + " x" * 1_000_000
+    found = glossary.found_terms(spark.createDataFrame([(1, text), (2, "none")], "id long, content string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert [tuple(r) for r in found.groupBy("id").count().collect()] == [(1, 1500)]
