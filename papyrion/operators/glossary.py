@@ -185,13 +185,14 @@ def first_wins(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) ->
 
 
 def with_context(terms: DataFrame, chapters: DataFrame) -> DataFrame:
-    """STR-04: adds the context of a term in the first chapter of its book that has it; empty if none. Each text is searched once, for all terms."""
-    terms = settle(terms)  # short, and read three times
-    slim = chapters.select("book", "chapter", F.col("text").alias("content"))
-    hits = found_terms(slim, terms.select("term")).select("book", "chapter", "term").join(terms.select("book", "term").distinct(), ["book", "term"])
-    where = hits.groupBy("book", "term").agg(F.min("chapter").alias("chapter"))
-    first = where.join(chapters, ["book", "chapter"]).groupBy("book", "term").agg(F.min(context(F.col("text"), F.col("term"))).alias("context"))
-    return terms.join(first, ["book", "term"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+    """STR-04: adds the context of a term in the first chapter of its book that has it; empty if none. Each text is searched once, for the terms of its book."""
+    terms = settle(terms)  # short, and read twice
+    own = terms.where("term <> ''").groupBy("book").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    texts = chapters.join(own, "book").select("book", "chapter", "_terms", _spot_own()(F.lower("text"), F.transform("_terms", lambda t: F.lower(t))).alias("_at"))
+    hits = texts.select("book", "chapter", F.explode(F.transform("_at", lambda k: F.get("_terms", k))).alias("term"))
+    where = hits.groupBy("book", "term").agg(F.min("chapter").alias("chapter")).groupBy("book", "chapter").agg(F.collect_list("term").alias("_terms"))
+    shown = where.join(chapters, ["book", "chapter"]).select("book", F.inline(F.transform("_terms", lambda t: F.struct(t.alias("term"), context(F.col("text"), t).alias("context")))))
+    return terms.join(shown.groupBy("book", "term").agg(F.min("context").alias("context")), ["book", "term"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 #: Terms and their characters that go out as one automaton; a larger glossary is joined by keys.
@@ -261,7 +262,7 @@ def _spot_own():
                 ends.append(len(hits))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hits, pa.int32()))
 
-    return spot
+    return spot.asNondeterministic()  # else Spark asks twice, for the filter of an explode too
 
 
 def _automaton(groups: dict):

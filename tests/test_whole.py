@@ -124,6 +124,14 @@ def test_chapter_terms_make_no_table_of_all_ngrams(spark):
     assert want and {tuple(r) for r in found.select("book", "term", "count", "place").collect()} == want
 
 
+def test_contexts_search_only_the_terms_of_a_book(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "found_terms", None)  # would look for the terms of all books in each text
+    terms = spark.createDataFrame([(1, "Cat"), (1, "dog"), (1, "gone"), (2, "cat"), (2, "")], "book long, term string")
+    texts = spark.createDataFrame([(1, 1, "a  DOG"), (1, 2, "a cat and a dog"), (2, 3, None), (2, 4, "Cat")], "book long, chapter long, text string")
+    found = {(r.book, r.term): r.context for r in glossary.with_context(terms, texts).collect()}
+    assert found == {(1, "Cat"): "...a cat and a dog...", (1, "dog"): "...a DOG...", (1, "gone"): "", (2, "cat"): "...Cat...", (2, ""): ""}
+
+
 def test_found_terms_do_not_repeat_the_text(spark):
     """2 MB of text with 1500 terms: the text beside each of them would be 3 GB."""
     terms = [f"q{k:04d}" for k in range(1500)]
