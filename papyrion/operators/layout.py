@@ -468,8 +468,8 @@ def mark_references(blocks: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def vertical_groups(blocks: DataFrame, key: tuple[str, ...] = ("doc", "page"), most: float = 24.0) -> DataFrame:
-    """WIN-06: adds ``group``: a new one where the distance to the block before is larger than ``most``."""
-    order = Window.partitionBy(*key).orderBy(F.col("bbox")[1], F.col("bbox")[0], "id")
+    """WIN-06: adds ``group``: a new one where the distance to the block before is larger than ``most``; of blocks with one place and id the lower end comes last."""
+    order = Window.partitionBy(*key).orderBy(F.col("bbox")[1], F.col("bbox")[0], "id", F.col("bbox")[3], F.col("bbox")[2])
     gap = F.col("bbox")[1] - F.lag(F.col("bbox")[3]).over(order)
     return blocks.withColumn("group", F.sum(F.when(gap > most, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -5,7 +5,7 @@ import pytest
 
 import papyrion.queries  # noqa: F401
 from papyrion import registry
-from papyrion.operators import glossary, tables
+from papyrion.operators import glossary, layout, tables
 
 
 @pytest.fixture
@@ -138,3 +138,11 @@ def test_found_terms_do_not_repeat_the_text(spark):
     text = " ".join(terms) + " x" * 1_000_000
     found = glossary.found_terms(spark.createDataFrame([(1, text), (2, "none")], "id long, content string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert [tuple(r) for r in found.groupBy("id").count().collect()] == [(1, 1500)]
+
+
+def test_vertical_groups_do_not_depend_on_the_order_of_rows(spark):
+    """Two blocks of one page, place and id, of which one reaches near the next block."""
+    rows = [(1, 3, [0.0, 0.0, 9.0, 11.0]), (1, 3, [0.0, 0.0, 9.0, 60.0]), (1, 4, [0.0, 72.0, 9.0, 80.0])]
+    for some in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        found = layout.vertical_groups(spark.createDataFrame(some, "page long, id int, bbox array<double>").coalesce(1), ("page",))
+        assert {(r.id, r.group) for r in found.collect()} == {(3, 0), (4, 0)}
