@@ -74,7 +74,7 @@ def html_headings_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_HEADS}, r as (select *, page_id // 25 as book from x where text <> '') select book, page_id as chapter, ord, tag, 'std_' || (row_number() over (partition by book order by page_id, ord) - 1) as id, text from r")
 def html_headings_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXP-06: headings of 25 pages in a row, numbered on and on."""
-    rows = dom.explode(_pages(spark, sf_dir), "page_id", dom.headings).withColumn("book", F.floor(F.col("page_id") / 25)).withColumnRenamed("page_id", "chapter")
+    rows = dom.explode(_pages(spark, sf_dir), "page_id", dom.headings).withColumn("book", F.expr("page_id div 25")).withColumnRenamed("page_id", "chapter")
     return dom.numbered_headings(rows, "book").select("book", "chapter", "ord", "tag", "id", "text")
 
 

@@ -102,6 +102,14 @@ def test_headings_keep_entities_as_written(run, tmp_path, name):
     assert {"for&am", "after &# it", "then &amp", "AT&T &copy 5"} <= {r.text for r in found}
 
 
+def test_numbered_headings_books_divide_like_integers(run, tmp_path):
+    """Pages before 0, and numbers that a double can't hold: their books are those of the SQL."""
+    pages = [(k, f"<h1>a{k}</h1><p>x</p><h2>b</h2>") for first in (-30, 2**53 - 30) for k in range(first, first + 60)]
+    found = run("html_headings_numbered", pages=(pages, "page_id long, html string"))
+    want = duckdb.sql(registry.ORACLES["html_headings_numbered"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'"))
+    assert sorted(tuple(r[c] for c in want.columns) for r in found) == sorted(want.fetchall())
+
+
 def test_chapter_terms_make_no_table_of_all_ngrams(spark):
     """Against brute force: ties, short chapters, terms at borders; counted where the words are."""
     words = lambda k, n: [f"w{(k * 7 + i * i) % 9}" for i in range(n)]
