@@ -6,11 +6,15 @@ of JSON payloads fit as they are) and, where needed, ``doc``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.functions import geom
-from papyrion.functions.text import FORMULA_SYMBOLS, FORMULA_TOKENS, compact, count, formula_heavy, meta_note, normalize, private_use, signature, strip_model_marks
+from papyrion.functions.text import FORMULA_SYMBOLS, FORMULA_TOKENS, compact, count, formula_heavy, meta_note, private_use, signature, strip_model_marks
+from papyrion.functions.text import normalize as _normalize
 
 # Patterns of the rules.
 SECTION = r"^(?:\d+(?:\.\d+)*|[A-Z])(?:[.)])?\s+[^\s].{0,120}$"
@@ -27,6 +31,24 @@ FIELD_LABELS = ("document_index", "key_value_region", "field_region", "field_hea
 REFERENCE_TITLES = ("references", "bibliography", "参考文献")
 
 
+_known: dict[str, str] = {}
+
+
+@contextmanager
+def normalized(**columns: str) -> Iterator[None]:
+    """Rules that are formed inside read the normalised text of a column from another, so it is worked out once for all of them."""
+    _known.update(columns)
+    try:
+        yield
+    finally:
+        for name in columns:
+            del _known[name]
+
+
+def normalize(text: Column | str) -> Column:
+    return F.col(_known[text]) if isinstance(text, str) and text in _known else _normalize(text)
+
+
 def _s(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -410,25 +432,54 @@ def running_label(text: Column | str) -> Column:
     return t.rlike(RUNNING) & (F.length(t) <= 24) & F.size(F.filter(F.split(t, " "), lambda w: w != "")).between(1, 3)
 
 
+def _zones() -> dict[str, Column]:
+    h = F.greatest(_d("pageHeight", 1.0), F.lit(1.0))
+    return {"top": F.col("bbox")[3] <= h * 0.11, "bottom": F.col("bbox")[1] >= h * 0.89, "side": side_marginalia()}
+
+
+def ruled_margin() -> Column:
+    """AGG-15: margin blocks that stay by rules of their own."""
+    h, zones = F.greatest(_d("pageHeight", 1.0), F.lit(1.0)), _zones()
+    return journal_footer() | strong_side_metadata() | (zones["bottom"] & page_number()) | (((F.col("bbox")[3] <= h * 0.12) | zones["side"]) & margin_metadata())
+
+
 def periphery(blocks: DataFrame, doc: str = "doc") -> DataFrame:
     """AGG-15: (doc, id) of margin blocks that stay: repeated signatures on several pages, or margin rules."""
-    h = F.greatest(_d("pageHeight", 1.0), F.lit(1.0))
-    b = blocks.withColumn("_sig", signature("text")).withColumn("_top", F.col("bbox")[3] <= h * 0.11).withColumn("_bottom", F.col("bbox")[1] >= h * 0.89).withColumn("_side", side_marginalia())
-    zones = F.array_compact(F.array(F.when(F.col("_top"), "top"), F.when(F.col("_bottom"), "bottom"), F.when(F.col("_side"), "side")))
+    b = blocks.withColumn("_sig", signature("text"))
+    zones = F.array_compact(F.array(*(F.when(inside, zone) for zone, inside in _zones().items())))
     rows = b.where(repeatable(F.col("_sig"))).select(doc, "_sig", "page", F.explode(zones).alias("_zone"))
     often = rows.groupBy(doc, "_zone", "_sig").agg(F.countDistinct("page").alias("n")).where("n >= 2").drop("n")
     seen = b.withColumn("_zone", F.explode(zones)).join(often, [doc, "_zone", "_sig"], "left_semi").select(doc, "id")
-    ruled = b.where(journal_footer() | strong_side_metadata() | (page_number() & F.col("_bottom")) | (margin_metadata() & ((F.col("bbox")[3] <= h * 0.12) | F.col("_side")))).select(doc, "id")
-    return seen.unionByName(ruled).distinct()
+    return seen.unionByName(b.where(ruled_margin()).select(doc, "id")).distinct()
+
+
+def repeated_margin(blocks: DataFrame, doc: str = "doc") -> DataFrame:
+    """AGG-15 beside the blocks: adds ``repeated``: in a margin, with a signature that stands there on several pages; a document's blocks fit a task."""
+    zones = {f"_{zone}": F.coalesce(inside, F.lit(False)) for zone, inside in _zones().items()}
+    some = blocks.withColumns(zones)
+    sig = F.when(F.col("_top") | F.col("_bottom") | F.col("_side"), signature("text"))
+    some = some.withColumn("_sig", sig).withColumn("_sig", F.when(repeatable(F.col("_sig")), F.col("_sig")))
+    alike = Window.partitionBy(doc, "_sig")
+    pages = lambda zone: F.when(F.col(zone), F.col("page"))
+    several = [F.col(zone) & (F.min(pages(zone)).over(alike) < F.max(pages(zone)).over(alike)) for zone in zones]
+    return some.withColumn("repeated", F.coalesce(F.col("_sig").isNotNull() & (several[0] | several[1] | several[2]), F.lit(False))).drop("_sig", *zones)
 
 
 # ---------------------------------------------------------------- page statistics
 
 
+def _text_size() -> Column:
+    return F.when((F.length(normalize("text")) >= 20) & F.col("fontSize").between(6, 14), F.col("fontSize"))
+
+
 def page_body_size(blocks: DataFrame, key: tuple[str, ...] = ("doc", "page")) -> DataFrame:
     """AGG-10: median font size of text blocks between 6 and 14, else 10."""
-    fits = (F.length(normalize("text")) >= 20) & F.col("fontSize").between(6, 14)
-    return blocks.groupBy(*key).agg(F.coalesce(F.median(F.when(fits, F.col("fontSize"))), F.lit(10.0)).alias("bodySize"))
+    return blocks.groupBy(*key).agg(F.coalesce(F.median(_text_size()), F.lit(10.0)).alias("bodySize"))
+
+
+def with_body_size(blocks: DataFrame, key: tuple[str, ...] = ("doc", "page")) -> DataFrame:
+    """AGG-10 beside the blocks: adds ``bodySize``."""
+    return blocks.withColumn("bodySize", F.coalesce(F.median(_text_size()).over(Window.partitionBy(*key)), F.lit(10.0)))
 
 
 def page_body_width(widths: DataFrame, key: tuple[str, ...] = ("doc", "page")) -> DataFrame:

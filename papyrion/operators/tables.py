@@ -14,7 +14,7 @@ from functools import cached_property
 from itertools import pairwise
 from statistics import median
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrion.operators.grouped import each
@@ -565,6 +565,33 @@ def detect(blocks: DataFrame, rules: DataFrame | None = None, most_gap: float =
     return each(rows.where("page is not null"), ["doc", "page"], [], run, STRUCTURES.format(doc=blocks.schema["doc"].dataType.simpleString()))
 
 
+#: What can be a number in Python; digits that only newer versions of Unicode know lie beyond the first plane.
+_NUMBERS = r"\p{Nd}+|[\x{10000}-\x{10FFFF}]"
+
+
+def _start() -> Column:
+    """A block without which no table begins: a wider test than ``seed`` and ``single_body``, of lengths, numbers and items only."""
+    b = F.col("bbox")
+    typed = F.coalesce(F.col("blockType").isin("table_body", "table_header"), F.lit(False)) | F.coalesce(F.col("doclingLabel") == "table", F.lit(False))
+    items = F.aggregate(F.coalesce(F.col("layoutLines.items"), F.array()), F.lit(0), lambda n, x: n + F.coalesce(F.size(x), F.lit(0)))
+    numbers = (b[2] - b[0] >= 180.0) & (F.regexp_count("text", F.lit(_NUMBERS)) >= 6)
+    return F.coalesce(F.size("bbox") == 4, F.lit(False)) & (typed | (items >= 6) | F.coalesce(numbers, F.lit(False)))
+
+
+def _tall() -> Column:
+    """A block that ``turned`` counts, margins too."""
+    b = F.col("bbox")
+    w, h = b[2] - b[0], b[3] - b[1]
+    return F.coalesce((F.size("bbox") == 4) & (h >= 2.2 * F.greatest(w, F.lit(1.0))) & (h >= 40.0), F.lit(False))
+
+
+def may_hold(blocks: DataFrame) -> DataFrame:
+    """Adds ``mayHold``: false on pages without rules on which ``detect`` finds no table, whatever else they hold; block types may be set later."""
+    page = Window.partitionBy("doc", "page")
+    some = F.max(_start()).over(page) | (F.sum(_tall().cast("int")).over(page) >= 8)
+    return blocks.withColumn("mayHold", some & F.col("page").isNotNull())
+
+
 def mark(blocks: DataFrame, structures: DataFrame) -> DataFrame:
     """JOIN-15: bodies and headers of tables become preserved table blocks; captions and notes only get tableId and tableRole."""
     parts = F.array(*(F.struct(F.lit(role).alias("_role"), F.col(f"{part}BlockIds").alias("_ids")) for part, role in (("body", "table_body"), ("header", "table_header"), ("caption", "table_caption"), ("footnote", "table_footnote"))))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.runtime import settle
@@ -103,6 +103,19 @@ def translate(nodes: DataFrame, translator: Translator, text: str = "text", paus
     return nodes.mapInPandas(run, f"{schema}, translated string, ok boolean, error string, attempts int")
 
 
+def answers(text: Column, translator: Translator, pause: float = PAUSE, fallback: Translator | None = None) -> Column:
+    """EXE-01 as a column: the answer to each text, null where there is none; only the texts go through the stage, null ones are not sent."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = batch.tolist()
+            out, _, _ = call(translator, [t or "" for t in texts], pause=pause, fallback=fallback)
+            yield pd.Series([None if t is None else o for t, o in zip(texts, out, strict=True)], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
+
+
 def rounds(nodes: DataFrame, make, text: str = "text", most: int = ROUNDS) -> DataFrame:
     """EXE-03: what a round leaves open goes into the next; after the last the source text stays (ok is false).
 

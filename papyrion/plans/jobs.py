@@ -41,16 +41,25 @@ def subtitles(files: DataFrame, translator: translate.Translator, key: str) -> D
 
 
 def blocks(payload: DataFrame, translator: translate.Translator) -> DataFrame:
-    """JOB-03: decided blocks (doc, page, id, action, translatedText): labels, references, margins, tables, texts, actions."""
+    """JOB-03: decided blocks (doc, page, id, action, translatedText): labels, references, margins, tables, texts, actions.
+
+    Blocks are dealt by document once; what depends on others stands beside them, and only pages that may hold a table go through the detection.
+    """
     from papyrion.operators import layout, tables
 
-    base = layout.mark_references(payload)
-    sized = base.join(layout.page_body_size(base), ["doc", "page"])
-    typed = sized.withColumn("blockType", F.coalesce("blockType", layout.block_type(F.lit(None).cast("double"), F.col("bodySize"))))
-    found = tables.detect(typed.drop("bodySize"))
-    marked = tables.mark(typed, found)
-    margin = layout.periphery(marked).withColumn("_margin", F.lit(True))
-    kept = marked.join(margin, ["doc", "id"], "left").withColumn("preserveOriginal", F.coalesce("preserveOriginal", F.lit(False)) | F.coalesce("_margin", F.lit(False)))
-    sent = translate.translate(kept.where("not preserveOriginal").select("doc", "id", "text"), translator, "text", pause=0).select("doc", "id", F.col("translated").alias("_t"))
-    done = kept.drop("translatedText").join(sent, ["doc", "id"], "left").withColumn("translatedText", F.col("_t"))
-    return layout.decide(done).select("doc", "page", "id", "blockType", "renderPolicy", "action", "translatedText", "tableId", "tableRole")
+    base = layout.with_body_size(layout.mark_references(payload.drop("translatedText")))
+    parted = layout.repeated_margin(tables.may_hold(base))
+    parted = parted.withColumn("_plain", text.normalize("text"))
+    with layout.normalized(text="_plain"):
+        kind, ruled = layout.block_type(F.lit(None).cast("double"), F.col("bodySize")), layout.ruled_margin()
+    typed = parted.withColumn("blockType", F.coalesce("blockType", kind)).drop("bodySize")
+    some, rest = typed.where("mayHold").drop("mayHold"), typed.where("not mayHold").drop("mayHold")
+    found = tables.detect(some.select("doc", "page", "id", "pageWidth", "bbox", "text", "fontSize", "blockType", "role", "layoutLines"))
+    none = F.lit(None).cast("string")
+    marked = tables.mark(some, found).unionByName(rest.withColumns({"tableId": none, "tableRole": none}))
+    stays = F.coalesce("preserveOriginal", F.lit(False)) | F.col("repeated") | F.coalesce(ruled, F.lit(False))
+    kept = marked.withColumn("preserveOriginal", stays)
+    done = kept.withColumn("translatedText", translate.answers(F.when(~F.col("preserveOriginal"), F.coalesce("text", F.lit(""))), translator, pause=0))
+    with layout.normalized(text="_plain"):
+        decided = layout.decide(done)
+    return decided.select("doc", "page", "id", "blockType", "renderPolicy", "action", "translatedText", "tableId", "tableRole")

@@ -2,10 +2,13 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import papyrion.queries  # noqa: F401
 from papyrion import registry
-from papyrion.operators import glossary, layout, tables
+from papyrion.operators import glossary, layout, tables, translate
+from papyrion.plans import jobs
+from papyrion.queries import fixtures
 
 
 @pytest.fixture
@@ -154,3 +157,61 @@ def test_vertical_groups_do_not_depend_on_the_order_of_rows(spark):
     for some in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
         found = layout.vertical_groups(spark.createDataFrame(some, "page long, id int, bbox array<double>").coalesce(1), ("page",))
         assert {(r.id, r.group) for r in found.collect()} == {(3, 0), (4, 0)}
+
+
+def job_payload(spark):
+    """Documents of each kind: a table of numbers, a body of cells, a page on its side, repeated margins, references, plain lines."""
+    rows = []
+
+    def put(doc, page, name, box, text, **more):
+        item = {"type": "text", "text": text, "bbox": box}
+        rows.append({"doc": doc, "page": page, "id": name, "pageWidth": 600.0, "pageHeight": 720.0, "bbox": box, "text": text, "role": "paragraph", "fontSize": 10.0 + len(text or "") % 3, "layoutLines": [{"bbox": box, "items": [item]}], **more})
+
+    numbers = " ".join(str(1000 + k) for k in range(40))
+    for doc in (1, 2, 3):
+        for page in (1, 2, 3):
+            put(doc, page, f"p{page}_h", [72.0, 40.0, 300.0, 54.0], f"Chapter {page} of a book" if doc < 3 else f"only here {'abc'[page - 1]}")
+            for k in range(4):
+                put(doc, page, f"p{page}_b{k}", [72.0, 100.0 + 56 * k, 512.0, 142.0 + 56 * k], numbers if (doc, page) == (1, 2) else "Plain words, and more of them. " * 4)
+            put(doc, page, f"p{page}_n", [72.0, 680.0, 90.0, 694.0], str(page))
+    put(4, 1, "r", [72.0, 80.0, 200.0, 94.0], "References", role="heading")
+    put(4, 1, "s", [72.0, 120.0, 500.0, 134.0], "Somebody wrote something, somewhere.")
+    put(4, 2, "t", [72.0, 120.0, 500.0, 134.0], None)
+    cells = [{"bbox": [80.0, 100.0 + 14 * k, 460.0, 109.0 + 14 * k], "items": [{"type": "text", "text": t, "bbox": [80.0 + 130 * j, 100.0 + 14 * k, 130.0 + 130 * j, 109.0 + 14 * k]} for j, t in enumerate(("word", "cell", "other"))]} for k in range(6)]
+    put(5, 1, "cap", [60.0, 80.0, 420.0, 92.0], "Table 1. Values")
+    put(5, 1, "body", [60.0, 100.0, 420.0, 180.0], "word cell other " * 6, layoutLines=cells, blockType="body")
+    for k in range(9):
+        put(6, 1, f"v{k}", [60.0 + 40 * k, 100.0, 75.0 + 40 * k, 300.0], f"side {k}")
+    put(7, 1, "d", [60.0, 100.0, 75.0, 110.0], "one", doclingLabel="table")
+    put(7, 1, "e", [60.0, 112.0, 75.0, 122.0], "two", doclingLabel="table")
+    return fixtures._blocks(spark, rows)
+
+
+def plain_job(payload, translator):
+    """The job's operators one after the other, joined by block."""
+    base = layout.mark_references(payload)
+    typed = base.join(layout.page_body_size(base), ["doc", "page"]).withColumn("blockType", F.coalesce("blockType", layout.block_type(F.lit(None).cast("double"), F.col("bodySize"))))
+    marked = tables.mark(typed, tables.detect(typed.drop("bodySize")))
+    margin = layout.periphery(marked).withColumn("_margin", F.lit(True))
+    kept = marked.join(margin, ["doc", "id"], "left").withColumn("preserveOriginal", F.coalesce("preserveOriginal", F.lit(False)) | F.coalesce("_margin", F.lit(False)))
+    sent = translate.translate(kept.where("not preserveOriginal").select("doc", "id", "text"), translator, "text", pause=0).select("doc", "id", F.col("translated").alias("translatedText"))
+    return layout.decide(kept.drop("translatedText").join(sent, ["doc", "id"], "left")).select("doc", "page", "id", "blockType", "renderPolicy", "action", "translatedText", "tableId", "tableRole")
+
+
+def test_block_job_detects_tables_once_and_only_where_they_may_be(spark, monkeypatch):
+    payload, seen, detect = job_payload(spark), [], tables.detect
+    want = sorted(map(repr, plain_job(payload, translate.Upper()).collect()))
+    monkeypatch.setattr(tables, "detect", lambda blocks, *a: seen.append(blocks) or detect(blocks, *a))
+    out = jobs.blocks(payload, translate.Upper())
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = out.collect()
+    assert sorted(map(repr, found)) == want and len(want) == payload.count()
+    assert {r.doc for r in found if r.tableId} == {1, 5, 6}
+    assert sorted({(r.doc, r.page) for b in seen for r in b.select("doc", "page").collect()}) == [(1, 2), (5, 1), (6, 1), (7, 1)]
+
+
+def test_block_job_gives_a_block_once(spark):
+    """Two blocks of one document and id, and blocks without a document."""
+    payload = job_payload(spark)
+    twice = payload.where("doc = 2").unionByName(payload.where("doc = 2")).unionByName(payload.where("doc = 3").withColumn("doc", F.lit(None).cast("int")))
+    assert jobs.blocks(twice, translate.Upper()).count() == twice.count() == 54
